@@ -35,7 +35,7 @@ HOT = 8_192
 #: Classes up to this many records are written out in pairs; the records of a larger one
 #: are paired with its first record only.
 EXPAND = 64
-SIG_LONGS = 8
+SIG_BITS = 512
 _BLOB = "block bigint, blob binary"
 _SHORT = "a bigint, b bigint, n_a int, n_b int, hits int, far_a int, far_b int"
 _U = np.uint64
@@ -67,13 +67,35 @@ class Rows:
         total = np.add.reduceat(mix(self.h), self.first)
         return mix(total + self.size.astype(np.uint64)).view(np.int64)
 
-    def signatures(self) -> np.ndarray:
-        """Parity of the runs that fall on each bit: (texts, SIG_LONGS) numbers."""
-        bit = (mix(self.h ^ _U(0x5851F42D4C957F2D)) % _U(64 * SIG_LONGS)).astype(np.int64)
+    def signatures(self) -> list[bytes]:
+        """Parity of the runs that fall on each bit of a bitmap: ``SIG_BITS`` bits or the
+        power of two from twice the size. A longer one folds to a shorter one."""
+        bits = np.maximum(SIG_BITS, 1 << np.ceil(np.log2(2 * self.size)).astype(np.int64))
         row = np.repeat(np.arange(len(self.docs)), self.size)
-        flat = np.bincount(row * 64 * SIG_LONGS + bit, minlength=len(self.docs) * 64 * SIG_LONGS)
-        odd = (flat & 1).astype(np.uint8).reshape(len(self.docs), -1)
-        return np.packbits(odd, axis=1).view(np.int64)
+        bit = (mix(self.h ^ _U(0x5851F42D4C957F2D)) & (bits - 1).astype(np.uint64)[row]).astype(np.int64)
+        start = np.cumsum(bits) - bits
+        flat = np.bincount(start[row] + bit, minlength=int(bits.sum()))
+        packed = np.packbits((flat & 1).astype(np.uint8), bitorder="little")
+        return [packed[a : a + n].tobytes() for a, n in zip(start // 8, bits // 8)]
+
+
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which the two signatures of each pair differ: the sizes of the two sets less
+    twice their overlap are at least that many."""
+    out = np.zeros(len(x), np.int64)
+    short = np.array([len(s) == len(t) == SIG_BITS // 8 for s, t in zip(x, y)], bool)
+    at = np.flatnonzero(short)
+    if len(at):
+        s, t = (np.frombuffer(b"".join(z[k] for k in at), np.uint64) for z in (x, y))
+        out[at] = np.bitwise_count(s ^ t).reshape(len(at), -1).sum(axis=1)
+    for k in np.flatnonzero(~short):
+        width = min(len(x[k]), len(y[k]))
+        s, t = (
+            np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, width), axis=0)
+            for z in (x[k], y[k])
+        )
+        out[k] = np.bitwise_count(s ^ t).sum()
+    return out
 
 
 def need(size: np.ndarray, share: int, half: bool = False) -> np.ndarray:
@@ -113,7 +135,8 @@ def near_duplicates(
 
     table = rows.sparkSession.sparkContext.broadcast(sketch.count_keys(rows, keys))
     levels = np.frombuffer(table.value, np.uint8)
-    entries = float(sketch.from_level(levels).sum()) * (100 - share) / 100
+    counted = np.bincount(levels, minlength=256) @ sketch.from_level(np.arange(256))
+    entries = float(counted) * (100 - share) / 100
     blocks = max(parts(df.sparkSession), int(entries / BLOCK_ENTRIES))
 
     def scatter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,32 +179,32 @@ def near_duplicates(
                         [
                             pa.array(r.classes()),
                             pa.array(ids[a:b][r.docs]),
-                            *map(pa.array, np.ascontiguousarray(r.signatures().T)),
+                            pa.array(r.signatures(), pa.binary()),
                         ],
-                        ["class", "id", *(f"s{k}" for k in range(SIG_LONGS))],
+                        ["class", "id", "bits"],
                     )
 
-    bits = ", ".join(f"s{k} bigint" for k in range(SIG_LONGS))
-    signed = cut(rows.mapInArrow(sign, f"class bigint, id bigint, {bits}"))
-    one = signed.groupBy("class").agg(
-        F.min("id").alias("id"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(SIG_LONGS))
-    )
+    signed = cut(rows.mapInArrow(sign, "class bigint, id bigint, bits binary"))
+    one = signed.groupBy("class").agg(F.min("id").alias("id"), F.first("bits").alias("bits"))
     kept = summed
     for side in "ab":
         mine = one.select(
             F.col("class").alias(side),
             F.col("id").alias(f"id_{side}"),
-            *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(SIG_LONGS)),
+            F.col("bits").alias(f"bits_{side}"),
         )
         kept = kept.join(mine, side)
-    differ = sum(
-        (F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SIG_LONGS)),
-        start=F.lit(0),
-    )
+
+    def sift(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            both = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            overlap = both - differing(batch.column(6).to_pylist(), batch.column(7).to_pylist())
+            ok = overlap * (100 + share) >= 2 * share * both
+            yield batch.select(["a", "b", "id_a", "id_b"]).filter(pa.array(ok))
+
+    fields = ["a", "b", "id_a", "id_b", "n_a", "n_b", "bits_a", "bits_b"]
     kept = cut(
-        kept.filter((both - differ) * (100 + share) >= 2 * share * both).select(
-            "a", "b", "id_a", "id_b"
-        )
+        kept.select(*fields).mapInArrow(sift, "a bigint, b bigint, id_a bigint, id_b bigint")
     )
     return _compared(kept, rows, n, share, least), signed.select("class", F.col("id").alias("doc_id"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import neardup, pieces, repetition, terms
+from tokenloom.llm import bpe, neardup, packing, pieces, repetition, terms
 from tokenloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "tinystories_sample"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the packing had to split."""
+    return p7_containers(spark, sf_dir).filter("piece > 0").select("doc_id").distinct()
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_shares": p1_shares,
@@ -55,6 +68,9 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_containers": p7_containers,
 }
 
 _RECORDS = """r AS (
