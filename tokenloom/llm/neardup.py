@@ -35,7 +35,8 @@ HOT = 8_192
 #: Classes up to this many records are written out in pairs; the records of a larger one
 #: are paired with its first record only.
 EXPAND = 64
-SIG_BITS = 512
+#: Least bits of a row's parity bitmap.
+SIG_BITS = 128
 _BLOB = "block bigint, blob binary"
 _SHORT = "a bigint, b bigint, n_a int, n_b int, hits int, far_a int, far_b int"
 _U = np.uint64
@@ -69,8 +70,8 @@ class Rows:
 
     def signatures(self) -> list[bytes]:
         """Parity of the runs that fall on each bit of a bitmap: ``SIG_BITS`` bits or the
-        power of two from twice the size. A longer one folds to a shorter one."""
-        bits = np.maximum(SIG_BITS, 1 << np.ceil(np.log2(2 * self.size)).astype(np.int64))
+        power of two from 1.5 times the size. A longer one folds to a shorter one."""
+        bits = np.maximum(SIG_BITS, 1 << np.ceil(np.log2(1.5 * self.size)).astype(np.int64))
         row = np.repeat(np.arange(len(self.docs)), self.size)
         bit = (mix(self.h ^ _U(0x5851F42D4C957F2D)) & (bits - 1).astype(np.uint64)[row]).astype(np.int64)
         start = np.cumsum(bits) - bits
@@ -83,18 +84,18 @@ def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
     """Bits in which the two signatures of each pair differ: the sizes of the two sets less
     twice their overlap are at least that many."""
     out = np.zeros(len(x), np.int64)
-    short = np.array([len(s) == len(t) == SIG_BITS // 8 for s, t in zip(x, y)], bool)
-    at = np.flatnonzero(short)
-    if len(at):
-        s, t = (np.frombuffer(b"".join(z[k] for k in at), np.uint64) for z in (x, y))
-        out[at] = np.bitwise_count(s ^ t).reshape(len(at), -1).sum(axis=1)
-    for k in np.flatnonzero(~short):
-        width = min(len(x[k]), len(y[k]))
+    size = np.array([[len(s), len(t)] for s, t in zip(x, y)]).reshape(-1, 2)
+    kinds, kind = np.unique(size, axis=0, return_inverse=True)
+    for k, (a, b) in enumerate(kinds.tolist()):
+        at = np.flatnonzero(kind.ravel() == k)
         s, t = (
-            np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, width), axis=0)
-            for z in (x[k], y[k])
+            np.bitwise_xor.reduce(
+                np.frombuffer(b"".join([z[j] for j in at]), np.uint8).reshape(len(at), -1, min(a, b)),
+                axis=1,
+            )
+            for z in (x, y)
         )
-        out[k] = np.bitwise_count(s ^ t).sum()
+        out[at] = np.bitwise_count(s ^ t).sum(axis=1)
     return out
 
 
@@ -185,27 +186,25 @@ def near_duplicates(
                     )
 
     signed = cut(rows.mapInArrow(sign, "class bigint, id bigint, bits binary"))
-    one = signed.groupBy("class").agg(F.min("id").alias("id"), F.first("bits").alias("bits"))
+    one = signed.groupBy("class").agg(F.first("bits").alias("bits"))
     kept = summed
     for side in "ab":
-        mine = one.select(
-            F.col("class").alias(side),
-            F.col("id").alias(f"id_{side}"),
-            F.col("bits").alias(f"bits_{side}"),
-        )
+        mine = one.select(F.col("class").alias(side), F.col("bits").alias(f"bits_{side}"))
         kept = kept.join(mine, side)
 
     def sift(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            both = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            overlap = both - differing(batch.column(6).to_pylist(), batch.column(7).to_pylist())
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            overlap = both - differing(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             ok = overlap * (100 + share) >= 2 * share * both
-            yield batch.select(["a", "b", "id_a", "id_b"]).filter(pa.array(ok))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    fields = ["a", "b", "id_a", "id_b", "n_a", "n_b", "bits_a", "bits_b"]
-    kept = cut(
-        kept.select(*fields).mapInArrow(sift, "a bigint, b bigint, id_a bigint, id_b bigint")
-    )
+    fields = ["a", "b", "n_a", "n_b", "bits_a", "bits_b"]
+    kept = kept.select(*fields).mapInArrow(sift, "a bigint, b bigint")
+    heads = signed.groupBy("class").agg(F.min("id").alias("id"))
+    for side in "ab":
+        kept = kept.join(heads.select(F.col("class").alias(side), F.col("id").alias(f"id_{side}")), side)
+    kept = cut(kept.select("a", "b", "id_a", "id_b"))
     return _compared(kept, rows, n, share, least), signed.select("class", F.col("id").alias("doc_id"))
 
 
@@ -333,7 +332,8 @@ def product(blobs: list[bytes], share: int) -> Iterator[pa.RecordBatch]:
     first[same] = np.arange(len(same))
     local = first[same][local]
     n = size[local]
-    by = np.lexsort((side, local, n, name))
+    # One order of two rows in all blocks, also where their sizes are equal.
+    by = np.lexsort((side, known[local], n, name))
     name, local, place, side, n = name[by], local[by], place[by], side[by], n[by]
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | (local[1:] != local[:-1]) | (side[1:] != side[:-1])

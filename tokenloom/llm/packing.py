@@ -188,7 +188,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     groups = parts(sizes.sparkSession)
     n = F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).cast("long")
-    last = F.greatest(F.ceil(n / capacity) - 1, F.lit(0))
+    last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0))
     salt = F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups))
     items = cut(
         sizes.select("doc_id", n.alias("n"), F.monotonically_increasing_id().alias("row"))
