@@ -38,7 +38,9 @@ EXPAND = 64
 #: Least bits of a row's parity bitmap.
 SIG_BITS = 128
 _BLOB = "block bigint, blob binary"
-_SHORT = "a bigint, b bigint, n_a int, n_b int, hits int, far_a int, far_b int"
+#: ``sizes`` and ``last`` (places of the last common column) hold two numbers of 32 bits.
+_SHORT = "a bigint, b bigint, sizes bigint, hits bigint, last bigint"
+_LOW = 0xFFFFFFFF
 _U = np.uint64
 
 
@@ -161,14 +163,13 @@ def near_duplicates(
 
     blobs = rows.mapInArrow(scatter, _BLOB)
     partial = blobs.repartition(blocks, "block").mapInArrow(multiply, _SHORT)
-    summed = partial.groupBy("a", "b", "n_a", "n_b").agg(
-        F.sum("hits").alias("hits"), F.max("far_a").alias("far_a"), F.max("far_b").alias("far_b")
+    summed = partial.groupBy("a", "b", "sizes").agg(
+        F.sum("hits").alias("hits"), F.max("last").alias("last")
     )
-    possible = F.col("hits") + F.least(
-        F.col("n_a") - F.col("far_a") - 1, F.col("n_b") - F.col("far_b") - 1
-    )
-    both = F.col("n_a") + F.col("n_b")
-    summed = summed.filter(possible * (100 + share) >= both * share).select("a", "b", "n_a", "n_b")
+    behind = [F.col("sizes") - F.col("last"), F.col("sizes").bitwiseAND(_LOW) - F.col("last").bitwiseAND(_LOW)]
+    both = F.shiftright("sizes", 32) + F.col("sizes").bitwiseAND(_LOW)
+    possible = F.col("hits") - 1 + F.least(F.shiftright(behind[0] - behind[1], 32), behind[1])
+    summed = summed.filter(possible * (100 + share) >= both * share).select("a", "b", both.alias("both"))
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -194,12 +195,12 @@ def near_duplicates(
 
     def sift(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            overlap = both - differing(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            both = batch.column(2).to_numpy()
+            overlap = both - differing(batch.column(3).to_pylist(), batch.column(4).to_pylist())
             ok = overlap * (100 + share) >= 2 * share * both
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    fields = ["a", "b", "n_a", "n_b", "bits_a", "bits_b"]
+    fields = ["a", "b", "both", "bits_a", "bits_b"]
     kept = kept.select(*fields).mapInArrow(sift, "a bigint, b bigint")
     heads = signed.groupBy("class").agg(F.min("id").alias("id"))
     for side in "ab":
@@ -315,7 +316,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def product(blobs: list[bytes], share: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows that meet in a block of columns, with overlap and last place there."""
+    """Pairs of rows that meet in a block of columns, with overlap and last place there.
+
+    Common columns have the same order in both rows, so the last one is last in both.
+    """
     known, size, name, local, place, side, seen = [], [], [], [], [], [], 0
     for k, s, c, r, p, d in map(unpack, blobs):
         known.append(k)
@@ -380,18 +384,15 @@ def _pairs(
     new = np.r_[True, (local[i][1:] != local[i][:-1]) | (local[j][1:] != local[j][:-1])]
     head = np.flatnonzero(new)
     hits = np.diff(np.r_[head, len(i)])
+    last = np.maximum.reduceat((place[i] << 32) | place[j], head)
     columns = [
         known[local[i[head]]],
         known[local[j[head]]],
-        n[i[head]].astype(np.int32),
-        n[j[head]].astype(np.int32),
-        hits.astype(np.int32),
-        np.maximum.reduceat(place[i], head).astype(np.int32),
-        np.maximum.reduceat(place[j], head).astype(np.int32),
+        (n[i[head]] << 32) | n[j[head]],
+        hits.astype(np.int64),
+        last,
     ]
-    return pa.RecordBatch.from_arrays(
-        list(map(pa.array, columns)), ["a", "b", "n_a", "n_b", "hits", "far_a", "far_b"]
-    )
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "sizes", "hits", "last"])
 
 
 def _compared(kept: DataFrame, rows: DataFrame, n: int, share: int, least: int) -> DataFrame:

@@ -4,7 +4,7 @@ Only the histogram of the sizes, one number for each size up to the capacity, is
 with. Shallow combinations of sizes that fill a window exactly or nearly (the capacity,
 its half, quarter and so on; windows are joined to containers) are the columns of a
 non-negative least squares problem, whose solution says how often to repeat each of them.
-Rounded down, they use up most items; the rest is packed best fit, largest first, again on
+Rounded, as far as there are items, they use up most; the rest is packed best fit, largest first, again on
 the histogram. The items then find their places by their rank among those of one size,
 which is counted in salted groups, so that no size has to fit into one task.
 """
@@ -30,6 +30,8 @@ DEPTH, SLACK = 3, 1 / 256
 #: Windows are the capacity halved up to so many times.
 HALVINGS = 3
 SWEEPS = 60
+#: A combination to be repeated less often than this is not used.
+NEARLY_NONE = 0.05
 
 
 class Group(NamedTuple):
@@ -104,8 +106,8 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[Group]:
                 columns.append(Counter(c))
                 windows.append(window)
     if columns:
-        repeats = np.floor(solve(columns, left) + 1e-9).astype(np.int64)
-        for k in np.argsort([-max(c) for c in columns], kind="stable").tolist():
+        repeats = np.ceil(solve(columns, left) - NEARLY_NONE).astype(np.int64)
+        for k in np.lexsort((-repeats, [-w for w in windows])).tolist():
             most = min(int(left[s]) // n for s, n in columns[k].items())
             n = min(int(repeats[k]), most)
             if n > 0:
@@ -117,14 +119,20 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[Group]:
 
 def _joined(filled: list[tuple[tuple[int, ...], int, int]], capacity: int) -> list[Group]:
     """Filled windows side by side in containers, wide ones first."""
-    open_: list[Group] = []
+    whole: list[Group] = []
+    single: list[tuple[tuple[int, ...], int]] = []
     for sizes, count, window in sorted(filled, key=lambda f: -f[2]):
         each = capacity // window
         if count // each:
-            open_.append(Group(sizes * each, count // each))
-        if count % each:
-            open_.append(Group(sizes * (count % each), 1))
-    return open_
+            whole.append(Group(sizes * each, count // each))
+        single += [(sizes, window)] * (count % each)
+    mine, room = (), capacity
+    for sizes, window in single:
+        if window > room:
+            whole.append(Group(mine, 1))
+            mine, room = (), capacity
+        mine, room = mine + sizes, room - window
+    return whole + [Group(mine, 1)] * bool(mine)
 
 
 def _greedy(groups: list[Group], left: np.ndarray, capacity: int) -> list[Group]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, neardup, packing, pieces, repetition, terms
+from tokenloom.llm import bpe, neardup, packing, pieces, repetition, subjects, terms
 from tokenloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "subject_labels"),
+        table(spark, sf_dir, "subjects"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_shares": p1_shares,
@@ -71,6 +83,8 @@ QUERIES: dict[str, Query] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_subjects": p8_subjects,
 }
 
 _RECORDS = """r AS (
