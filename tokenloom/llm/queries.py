@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, neardup, packing, pieces, repetition, subjects, terms
+from tokenloom.llm import bpe, encoding, neardup, packing, pieces, repetition, subjects, terms
 from tokenloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,14 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_restored(spark, sf_dir).select("doc_id").distinct()
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(table(spark, sf_dir, "tinystories_sample")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_counts(spark, sf_dir).filter("mark is not null").select("field_name", "term", "mark")
 
@@ -77,6 +85,8 @@ QUERIES: dict[str, Query] = {
     "p1_shares": p1_shares,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
