@@ -23,10 +23,16 @@ def top_pairs(counts: DataFrame, k: int = 1) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.desc("l"), F.desc("r")).limit(k)
 
 
-def pair_index(words: DataFrame, word_id: str = "w") -> DataFrame:
-    """``l, r, words``: the sorted distinct words that hold each pair."""
+def pair_postings(words: DataFrame, word_id: str = "w") -> DataFrame:
+    """``l, r, word``: one row for each pair and distinct word that holds it."""
     each = words.select(F.col(word_id).alias("word"), F.explode(F.array_distinct(pairs(F.col("cells")))).alias("p"))
-    return each.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(
+    return each.select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "word").distinct()
+
+
+def pair_index(words: DataFrame, word_id: str = "w") -> DataFrame:
+    """``l, r, words``: the sorted distinct words that hold each pair, as lists. For
+    vocabularies whose longest list fits into a task; ``pair_postings`` has no such limit."""
+    return pair_postings(words, word_id).groupBy("l", "r").agg(
         F.array_sort(F.collect_list("word")).alias("words")
     )
 

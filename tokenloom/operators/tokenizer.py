@@ -195,15 +195,16 @@ class Tokenizer:
 
         Repeated ids are kept apart.
         """
-        rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-        words = pretokenize(rows, "text", self.specials, self.pattern)
-        coded = words.join(self.encode_words(words, fold), "w").select("row", F.struct("sp", "wp", "ids").alias("p"))
-        whole = F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["ids"]))
-        ids = coded.groupBy("row").agg(whole.alias("ids"))
-        empty = F.when(F.col("text").isNotNull(), F.array().cast("array<int>"))
-        return rows.join(ids, "row", "left").select(
-            F.col("id").alias(id_col), F.coalesce("ids", empty).alias("ids")
-        )
+        rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+        # The number of a row is made and used in one branch only, so it can't differ between two.
+        some = rows.filter("text <> ''").withColumn("row", F.monotonically_increasing_id())
+        words = pretokenize(some, "text", self.specials, self.pattern)
+        coded = words.join(self.encode_words(words, fold), "w")
+        parts = F.array_sort(F.collect_list(F.struct("sp", "wp", "ids")))
+        whole = coded.groupBy("row", "id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+        empty = F.when(F.col("text") == "", F.array().cast("array<int>"))
+        none = rows.filter("text is null or text = ''").select("id", empty.alias("ids"))
+        return whole.select("id", "ids").unionByName(none).withColumnRenamed("id", id_col)
 
     def decode_frame(self, df: DataFrame, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
         """``id_col, text``: the texts of arrays of ids; broken UTF-8 becomes U+FFFD and an

@@ -204,10 +204,8 @@ def top_k_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT w, a[i] AS l, a[i + 1] AS r FROM (SELECT w, a, unnest(range(1, len(a))) AS i FROM (
     SELECT w, string_split(cells[2:len(cells) - 1], '><') AS a FROM hist WHERE cells LIKE '%><%'))) GROUP BY l, r""")
 def pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = P.pair_index(histogram(spark, sf_dir))
-    return found.select(
-        "l", "r", F.size("words").cast("bigint").alias("n_words"), F.element_at("words", 1).alias("first_word")
-    )
+    postings = P.pair_postings(histogram(spark, sf_dir))
+    return postings.groupBy("l", "r").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"))
 
 
 @query(f"WITH {_HIST} SELECT w, replace(cells, '<20><74>', '<2074>') AS cells, n FROM hist")
