@@ -200,6 +200,8 @@ def test_large_classes_are_stars(spark: SparkSession, nothing, odd) -> None:
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()}
     assert got == {(0, k) for k in range(1, neardup.EXPAND + 6)} | {(0, 500)}
+    by = {r.doc_id: (r.class_id, r.links) for r in neardup.near_duplicate_classes(df).collect()}
+    assert by == {k: (0, 1) for k in range(neardup.EXPAND + 6)} | {500: (500, 1)}
     assert neardup.near_duplicate_pairs(nothing).collect() == []
     assert neardup.near_duplicate_pairs(odd).collect() == []
 

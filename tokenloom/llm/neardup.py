@@ -507,3 +507,15 @@ def near_duplicate_pairs(df: DataFrame, **options: object) -> DataFrame:
     return every.select(
         F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")
     ).distinct()
+
+
+def near_duplicate_classes(df: DataFrame, **options: object) -> DataFrame:
+    """``doc_id, class_id, links`` of every record with enough words: the least id among the
+    records of equal runs, and the number of other classes that are similar."""
+    pairs, members = near_duplicates(df, **options)
+    members = members.distinct()
+    heads = members.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    links = ends.groupBy("class").agg(F.count("*").alias("links"))
+    out = members.join(heads, "class").join(links, "class", "left")
+    return out.select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))

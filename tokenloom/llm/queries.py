@@ -55,6 +55,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "tinystories_sample"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "tinystories_sample"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
