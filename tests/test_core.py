@@ -168,8 +168,8 @@ def trained(spark, docs) -> Tokenizer:
 def test_encode_and_decode(spark, docs) -> None:
     t = trained(spark, docs)
     assert t.rank_safe
-    for fold in (True, False):
-        ids = t.encode_frame(docs, fold=fold)
+    for how in ("column", "words", "arrow"):
+        ids = t.encode_frame(docs, how=how)
         got = {r.doc_id: r.ids for r in ids.collect()}
         assert got == {k: None if x is None else t.encode(x) for k, x in enumerate(TEXTS)}
     back = {r.doc_id: r.text for r in t.decode_frame(ids).collect()}
@@ -199,6 +199,8 @@ def test_order_matters_without_rank_safety(spark) -> None:
     assert [t.vocab[i] for i in t.encode("abcd")] == [b"abcd"]
     df = spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string")
     assert t.encode_frame(df).first().ids == t.encode("abcd")
+    with pytest.raises(ValueError):
+        t.encode_frame(df, how="other")
     assert t.ids[b"abc"] == 261
 
 
@@ -222,7 +224,11 @@ def test_missing_specials_and_tokens(spark) -> None:
     with pytest.raises(KeyError):
         t.encode("b")
     with pytest.raises(Exception, match="no id for token"):
-        t.encode_frame(spark.createDataFrame([(1, "b")], "doc_id bigint, text string")).collect()
+        t.encode_frame(spark.createDataFrame([(1, "b")], "doc_id bigint, text string"), how="column").collect()
+    with pytest.raises(Exception, match="no token for id 9"):
+        t.decode_frame(spark.createDataFrame([(1, [9])], "doc_id bigint, ids array<int>")).collect()
+    gap = Tokenizer({0: b"a", 7: b"b"}, [])
+    assert gap.decode_frame(spark.createDataFrame([(1, [7, 0])], "doc_id bigint, ids array<int>")).first().text == "ba"
 
 
 def test_files(spark, docs, tmp_path) -> None:

@@ -1,8 +1,8 @@
 """A trained tokenizer: encode and decode columns of a DataFrame, or single strings.
 
-Distinct words are encoded once and joined back. Where no two merges give the same bytes,
-running the merges once in rank order equals always merging the pair of least rank, and a
-fold over built-ins is enough; else the words go through an Arrow function.
+Texts are encoded where they are, without a shuffle, by an Arrow function that remembers
+the pieces it has met. Where no two merges give the same bytes, running the merges once in
+rank order equals always merging the pair of least rank, and a fold over built-ins does it.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.cells import symbols, to_cells
 from tokenloom.functions.patterns import check_specials, python_pattern, python_specials
-from tokenloom.operators.pretokenize import pretokenize
+from tokenloom.operators.pretokenize import pretokenize, segments_of, words_of
 
-#: Merges up to which the fold over built-ins is used; its plan grows with them.
-FOLD_MERGES = 2_000
+#: Pieces that one worker remembers, and the longest such piece in characters.
+REMEMBERED, LONGEST = 300_000, 40
 
 
 class Tokenizer:
@@ -50,6 +50,10 @@ class Tokenizer:
         self.ranks = {p: k for k, p in enumerate(self.merges)}
         self._find = regex.compile(python_pattern(pattern)).findall
         self._split = python_specials(self.specials)
+        self._known: dict[str, list[int]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
 
     @classmethod
     def from_frames(cls, vocab: DataFrame, merges: DataFrame, specials: list[str] | None = None, **options: object) -> Tokenizer:
@@ -79,6 +83,17 @@ class Tokenizer:
         ]
 
     def encode_piece(self, piece: str) -> list[int]:
+        """Ids of a plain piece, remembered for its next occurrence."""
+        known = self._known.get(piece)
+        if known is None:
+            known = self._merged(piece)
+            if len(piece) <= LONGEST:
+                if len(self._known) >= REMEMBERED:
+                    self._known.clear()
+                self._known[piece] = known
+        return known
+
+    def _merged(self, piece: str) -> list[int]:
         """Always merges the leftmost pair of least rank, until there is none."""
         parts = [bytes([b]) for b in piece.encode("utf-8", "surrogatepass")]
         while len(parts) > 1:
@@ -171,15 +186,20 @@ class Tokenizer:
         missing = lambda t: F.raise_error(F.concat(F.lit("no id for token "), t)).cast("int")
         return F.transform(symbols(cells), lambda t: F.coalesce(F.try_element_at(table, t), missing(t)))
 
-    def encode_words(self, words: DataFrame, fold: bool | None = None) -> DataFrame:
+    def text_column(self, text: Column) -> Column:
+        """Ids of whole texts, as one expression of built-ins; needs ``rank_safe``."""
+
+        def of(seg: Column) -> Column:
+            words = words_of(seg, self.pattern)
+            plain = F.flatten(F.transform(words, lambda w: self.ids_column(self.merge_column(to_cells(w)))))
+            for s in self.specials:
+                plain = F.when(seg == s, F.array(F.lit(self.ids[s.encode()]))).otherwise(plain)
+            return plain
+
+        return F.flatten(F.transform(segments_of(text, self.specials), of))
+
+    def encode_words(self, words: DataFrame) -> DataFrame:
         """``w, ids`` of the distinct words of ``words (w, is_special)``."""
-        distinct = words.select("w", "is_special").distinct()
-        if fold is None:
-            fold = len(self.merges) <= FOLD_MERGES and self.rank_safe
-        if fold:
-            whole = F.concat(F.lit("<"), F.hex(F.encode("w", "UTF-8")), F.lit(">"))
-            merged = F.when(F.col("is_special"), whole).otherwise(self.merge_column(to_cells(F.col("w"))))
-            return distinct.select("w", self.ids_column(merged).alias("ids"))
         one = self
 
         @F.pandas_udf("array<int>")
@@ -188,18 +208,33 @@ class Tokenizer:
                 [one.ids[p.encode()]] if s else one.encode_piece(p) for p, s in zip(w, special)
             ])
 
+        distinct = words.select("w", "is_special").distinct()
         return distinct.select("w", encode("w", "is_special").alias("ids"))
 
-    def encode_frame(self, df: DataFrame, id_col: str = "doc_id", text: str = "text", fold: bool | None = None) -> DataFrame:
+    def encode_frame(self, df: DataFrame, id_col: str = "doc_id", text: str = "text", how: str = "arrow") -> DataFrame:
         """``id_col, ids`` of every row. An empty text gives an empty array, null gives null.
 
-        Repeated ids are kept apart.
+        ``how`` is ``arrow``, ``column`` (built-ins only, slower, needs ``rank_safe``) or
+        ``words`` (distinct words are encoded once and joined back, for slow tokenizers and
+        few distinct words); all give the same. Repeated rows stay.
         """
+        if how == "column":
+            return df.select(F.col(id_col), self.text_column(F.col(text)).alias("ids"))
+        if how == "arrow":
+            one = self
+
+            @F.pandas_udf("array<int>")
+            def encode(t: pd.Series) -> pd.Series:
+                return pd.Series([None if x is None else one.encode(x) for x in t], dtype=object)
+
+            return df.select(F.col(id_col), encode(F.col(text)).alias("ids"))
+        if how != "words":
+            raise ValueError(f"how must be column, arrow or words, not {how!r}")
         rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
         # The number of a row is made and used in one branch only, so it can't differ between two.
         some = rows.filter("text <> ''").withColumn("row", F.monotonically_increasing_id())
         words = pretokenize(some, "text", self.specials, self.pattern)
-        coded = words.join(self.encode_words(words, fold), "w")
+        coded = words.join(self.encode_words(words), "w")
         parts = F.array_sort(F.collect_list(F.struct("sp", "wp", "ids")))
         whole = coded.groupBy("row", "id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
         empty = F.when(F.col("text") == "", F.array().cast("array<int>"))
@@ -209,10 +244,14 @@ class Tokenizer:
     def decode_frame(self, df: DataFrame, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
         """``id_col, text``: the texts of arrays of ids; broken UTF-8 becomes U+FFFD and an
         unknown id is an error."""
-        pairs = [x for i, t in self.vocab.items() for x in (F.lit(i), F.lit(t.hex().upper()))]
-        table = F.create_map(*pairs)
+        if set(self.vocab) == set(range(len(self.vocab))):
+            held = F.array(*(F.lit(self.vocab[i].hex().upper()) for i in range(len(self.vocab))))
+            token = lambda i: F.get(held, i)
+        else:
+            pairs = [x for i, t in self.vocab.items() for x in (F.lit(i), F.lit(t.hex().upper()))]
+            token = lambda i: F.try_element_at(F.create_map(*pairs), i)
         missing = lambda i: F.raise_error(F.concat(F.lit("no token for id "), i.cast("string"))).cast("string")
-        tokens = F.transform(F.col(ids), lambda i: F.coalesce(F.try_element_at(table, i), missing(i)))
+        tokens = F.transform(F.col(ids), lambda i: F.coalesce(token(i), missing(i)))
         raw = F.unhex(F.array_join(tokens, ""))
         return df.select(F.col(id_col), F.make_valid_utf8(raw.cast("string")).alias("text"))
 

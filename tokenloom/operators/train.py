@@ -56,7 +56,9 @@ def train_merges(
         words = words.cache()
         mode = "local" if words.limit(LOCAL_WORDS + 1).count() <= LOCAL_WORDS else "distributed"
     run = _local if mode == "local" else _distributed
-    return run(words.filter(F.col("cells").contains("><")), merges, min_freq, done, on_merge)
+    found = run(words.filter(F.col("cells").contains("><")), merges, min_freq, done, on_merge)
+    words.unpersist()
+    return found
 
 
 def _told(found: list[Merge], rank: int, left: str, right: str, n: int, on_merge: Callable | None) -> None:
