@@ -206,6 +206,21 @@ def test_large_classes_are_stars(spark: SparkSession, nothing, odd) -> None:
     assert neardup.near_duplicate_pairs(odd).collect() == []
 
 
+def test_different_texts_of_a_large_class_are_all_paired(spark: SparkSession, monkeypatch) -> None:
+    monkeypatch.setattr(neardup, "LIST", 9)
+    text = " ".join("abcdefghijklmnopqrstuvwxyz")
+    several = {k: text.replace(" ", "," * k + " ") for k in range(neardup.EXPAND + 6)}
+    copies = {k: text.upper() for k in range(100, 101 + neardup.EXPAND)}
+    similar = {k: (text + " more").replace(" ", "!" * (k - 500) + " ") for k in range(500, 500 + neardup.EXPAND + 2)}
+    few = {k: text + ":" for k in range(700, 703)}
+    every = {**several, **copies, **similar, **few}
+    df = spark.createDataFrame([*every.items()], "doc_id bigint, text string")
+    got = [tuple(r) for r in neardup.near_duplicate_pairs(df).collect()]
+    others = set(copies) - {100}
+    want = set(itertools.combinations(sorted(set(every) - others), 2)) | {(100, k) for k in others}
+    assert len(got) == len(set(got)) and set(got) == want == (brute_pairs(every) & want)
+
+
 def test_signatures_bound_the_difference() -> None:
     texts = list(near_texts(20, 6).values())
     r = neardup.Rows(texts, 3, 20)

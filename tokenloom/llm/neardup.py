@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import sketch
@@ -32,9 +32,11 @@ WORDS, SHARE, LEAST_WORDS = 3, 60, 20
 BLOCK_ENTRIES = 2_000_000
 #: A column in more records than this is cut into groups whose pairs are separate blocks.
 HOT = 8_192
-#: Classes up to this many records are written out in pairs; the records of a larger one
-#: are paired with its first record only.
+#: Up to this many records of one text, byte by byte, are written out in pairs; of more
+#: copies each is paired with the first one only, which stands for the text elsewhere.
 EXPAND = 64
+#: Records of a class in one list; a larger class is paired list by list, in many tasks.
+LIST = 512
 #: Least bits of a row's parity bitmap.
 SIG_BITS = 128
 _BLOB = "block bigint, blob binary"
@@ -116,13 +118,13 @@ def near_duplicates(
     share: int = SHARE,
     least: int = LEAST_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Pairs of similar classes ``a, b`` and the members ``class, doc_id`` of all classes.
+    """Pairs of similar classes ``a, b`` and the members ``class, copy, doc_id`` of all classes.
 
     Two records belong together if of the distinct runs of ``n`` words found in either at
     least ``share`` percent are found in both, and both have ``least`` words or more. A
-    class holds the records of equal runs. Every record with enough words is a member of
-    one class, also without a partner. Null and shorter texts and rows without an id have
-    none; deliveries of one record count once.
+    class holds the records of equal runs, a copy those of equal texts. Every record with
+    enough words is a member of one class, also without a partner. Null and shorter texts
+    and rows without an id have none; deliveries of one record count once.
     """
     rows = id_text(df, id_col, text_col).filter("id is not null and text is not null")
     rows = rows.filter(F.length("text") >= 2 * least - 1)
@@ -173,7 +175,7 @@ def near_duplicates(
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, texts, copies = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
             for a, b in chunks(texts):
                 r = Rows(texts[a:b], n, least)
                 if len(r.docs):
@@ -182,11 +184,13 @@ def near_duplicates(
                             pa.array(r.classes()),
                             pa.array(ids[a:b][r.docs]),
                             pa.array(r.signatures(), pa.binary()),
+                            copies[a:b].take(pa.array(r.docs)),
                         ],
-                        ["class", "id", "bits"],
+                        ["class", "id", "bits", "copy"],
                     )
 
-    signed = cut(rows.mapInArrow(sign, "class bigint, id bigint, bits binary"))
+    hashed = rows.withColumn("copy", F.xxhash64("text"))
+    signed = cut(hashed.mapInArrow(sign, "class bigint, id bigint, bits binary, copy bigint"))
     one = signed.groupBy("class").agg(F.first("bits").alias("bits"))
     kept = summed
     for side in "ab":
@@ -206,7 +210,7 @@ def near_duplicates(
     for side in "ab":
         kept = kept.join(heads.select(F.col("class").alias(side), F.col("id").alias(f"id_{side}")), side)
     kept = cut(kept.select("a", "b", "id_a", "id_b"))
-    return _compared(kept, rows, n, share, least), signed.select("class", F.col("id").alias("doc_id"))
+    return _compared(kept, rows, n, share, least), signed.select("class", "copy", F.col("id").alias("doc_id"))
 
 
 class _Held:
@@ -476,44 +480,68 @@ def _bit_table(ids: DataFrame) -> bytes:
 def near_duplicate_pairs(df: DataFrame, **options: object) -> DataFrame:
     """``doc_id_a, doc_id_b``, a < b, of similar records.
 
-    Records of equal runs are written out in all pairs where there are ``EXPAND`` or fewer
-    of them; of a larger class each record is paired with its first one, and a class that
-    is similar to another is linked through both first records. So no link between
-    different texts is lost, and the rows do not grow as the square of a class of copies.
+    All pairs between different texts come out, also where their runs are equal. Only of
+    more than ``EXPAND`` records with the very same text each is paired with the first one
+    alone, which stands for them in all other pairs, so the rows do not grow as the square
+    of the copies.
     """
     pairs, members = near_duplicates(df, **options)
     members = members.distinct()
-    size = members.groupBy("class").agg(F.count("*").alias("n"), F.min("doc_id").alias("head"))
-    many = size.filter("n > 1")
-    inside = members.join(many, "class")
-    stars = inside.filter((F.col("n") > EXPAND) & (F.col("doc_id") != F.col("head"))).select(
+    copies = members.groupBy("class", "copy").agg(F.count("*").alias("n"), F.min("doc_id").alias("head"))
+    starred = F.col("n") > EXPAND
+    inside = members.join(copies, ["class", "copy"])
+    stars = inside.filter(starred & (F.col("doc_id") != F.col("head"))).select(
         F.col("head").alias("x"), F.col("doc_id").alias("y")
     )
-    few = inside.filter(F.col("n") <= EXPAND).groupBy("class").agg(F.collect_list("doc_id").alias("d"))
+    shown = inside.filter(~starred | (F.col("doc_id") == F.col("head"))).select("class", "doc_id")
+    wide = copies.groupBy("class").agg(F.sum(F.when(starred, 1).otherwise(F.col("n"))).alias("n"))
+    wide = wide.filter(F.col("n") > LIST).select("class", F.ceil(F.col("n") / LIST).alias("k"))
+    shown = shown.join(wide, "class", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    shown = shown.withColumn("list", F.pmod(F.xxhash64("doc_id"), "k"))
+    lists = shown.groupBy("class", "list", "k").agg(F.collect_list("doc_id").alias("d"))
+
+    # Each list of a class meets itself and every other list of it in a row of its own.
+    several = lists.filter("k > 1 or size(d) > 1").withColumn("other", F.explode(_numbers("k")))
+    met = several.groupBy(
+        "class", F.least("list", "other").alias("low"), F.greatest("list", "other").alias("high")
+    ).agg(F.collect_list("d").alias("d"))
+    alone = F.col("low") == F.col("high")
     equal = (
-        few.select(F.explode("d").alias("x"), "d")
-        .select("x", F.explode("d").alias("y"))
-        .filter("x < y")
-    )
-    shown = members.join(size, "class").filter("n <= " + str(EXPAND) + " or doc_id = head")
-    lists = shown.groupBy("class").agg(F.collect_list("doc_id").alias("d"))
-    linked = (
-        pairs.join(lists.select(F.col("class").alias("a"), F.col("d").alias("da")), "a")
-        .join(lists.select(F.col("class").alias("b"), F.col("d").alias("db")), "b")
-        .select(F.explode("da").alias("x"), "db")
-        .select("x", F.explode("db").alias("y"))
+        met.select(
+            F.explode(F.get("d", 0)).alias("x"),
+            F.get("d", F.when(alone, 0).otherwise(1)).alias("d"),
+            alone.alias("alone"),
+        )
+        .select("x", F.explode("d").alias("y"), "alone")
+        .filter("not alone or x < y")
+        .select("x", "y")
     )
+    linked = pairs
+    for side in "ab":
+        mine = wide.select(F.col("class").alias(side), F.col("k").alias(f"k{side}"))
+        linked = linked.join(mine, side, "left")
+        linked = linked.withColumn(f"list_{side}", F.explode(_numbers(F.coalesce(f"k{side}", F.lit(1)))))
+    linked = linked.select("a", "list_a", "b", "list_b")
+    for side in "ab":
+        names = {"class": side, "list": f"list_{side}", "d": f"d{side}"}
+        mine = lists.select(*(F.col(k).alias(v) for k, v in names.items()))
+        linked = linked.join(mine, [side, f"list_{side}"])
+    linked = linked.select(F.explode("da").alias("x"), "db").select("x", F.explode("db").alias("y"))
     every = stars.unionByName(equal).unionByName(linked)
     return every.select(
         F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")
     ).distinct()
 
 
+def _numbers(k: Column | str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), (F.col(k) if isinstance(k, str) else k) - 1)
+
+
 def near_duplicate_classes(df: DataFrame, **options: object) -> DataFrame:
     """``doc_id, class_id, links`` of every record with enough words: the least id among the
     records of equal runs, and the number of other classes that are similar."""
     pairs, members = near_duplicates(df, **options)
-    members = members.distinct()
+    members = members.select("class", "doc_id").distinct()
     heads = members.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class"))
     links = ends.groupBy("class").agg(F.count("*").alias("links"))
