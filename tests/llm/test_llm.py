@@ -293,6 +293,34 @@ def test_garbled_texts_are_found_and_restored(spark: SparkSession, nothing, odd)
     assert encoding.restored(odd).collect() == []
 
 
+def test_rare_letters_are_restored(spark: SparkSession) -> None:
+    clean = [t for t, _, _ in GARBLED] + ["Plain text.", "日本の話。"]
+    rows = [(k, t) for k, t in enumerate(clean * 40)]
+    once = "Однажды старик нашёл красный объект за мельницей, это был мяч."
+    twice = "Der Müller fragte: „Wer hörte das Geräusch?“"
+    bad = {
+        1000: (once, once.encode("cp1251").decode("cp1252")),
+        1001: (once, once.encode("utf-8").decode("gb18030", "ignore")),
+        1002: (twice, twice.encode().decode("cp1252", "ignore").encode().decode("latin-1")),
+    }
+    df = spark.createDataFrame([*rows, *((k, b) for k, (_, b) in bad.items())], "doc_id bigint, text string")
+    got = {r.doc_id: r.restored for r in encoding.restored(df).collect()}
+    assert set(got) == set(bad)
+    assert got[1000] == once
+    assert len(set(got[1001].split()) & set(once.split())) >= 5
+
+
+def test_characters_are_counted_over_all_texts() -> None:
+    seen = encoding.characters([(1, "é и"), (2, "é"), (2, "ж"), (3, "plain"), (4, "Ã©Ã©Ã© €")])
+    assert seen == {"é": (2, 1, 2), "и": (1, 1, 1), "ж": (1, 2, 2)}
+    made = encoding.with_known({"letters": "э".encode()}, seen, 5)
+    costs = encoding.Costs(made)
+    assert "é" in costs.known and "э" in costs.rare - costs.known and "ж" not in costs.rare
+    assert costs.may_restore("Ñý", "э", "", True)
+    chain = next(c for c in encoding.chains() if c.name == "cp1251 as cp1252")
+    assert encoding._parts(chain, "îäèíжîäèí", set("один")) == [(0, 4, "один"), (5, 9, "один")]
+
+
 def test_subjects_of_held_out_documents(spark: SparkSession, nothing) -> None:
     rng = random.Random(9)
     topics = {"law": "court judge trial appeal verdict".split(), "sport": "goal match team coach score".split()}

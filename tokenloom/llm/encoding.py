@@ -6,7 +6,8 @@ undoing the chain there, they are compressed by a zstandard dictionary of the te
 language, and the shortest description wins, the cost of naming the chain included; if
 none is shorter, the text stays as it is. This is repeated, for chains come in chains.
 
-The dictionaries are trained on a bounded sample of the texts themselves.
+The dictionaries are trained on a bounded sample of the texts themselves. Which characters
+are known, and so may be restored, is counted over all of them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import id_text
+from tokenloom.llm.common import batches, id_text
 
 #: Rows that the dictionaries are trained on, about; bytes of a dictionary; texts of one language.
 SAMPLE, DICT_BYTES, PER_LANGUAGE = 12_000, 64 << 10, 1_500
@@ -30,8 +31,12 @@ CHAIN_COST = 1
 #: A chain of one-byte encodings, which says nothing about its places by itself, must save
 #: this part of their description.
 ONE_BYTE_SHARE = 0.2
-#: A restored character must be in this part of the sampled texts, and in two at least.
+#: A restored character is known if it is in this part of all texts, and in two at least. It
+#: is rare if it is in two texts or in an alphabet; that is enough in runs and places of three characters,
+#: and for letters of an alphabet in shorter places that do not read as correct text.
 KNOWN_PART = 0.0003
+#: Least length of a part of a run that is restored where the whole run cannot be.
+PART = 4
 ROUNDS, AROUND, LEVEL = 4, 24, 12
 
 # Encodings that UTF-8 is wrongly read by, pairs of one-byte encodings, and
@@ -52,6 +57,15 @@ FREQUENT = {
     "es": "el una y en los había".split(),
     "pt": "o um uma não os levou".split(),
 }
+#: Letters that may be restored, however rare, if the sample has texts of the language.
+ALPHABET = {
+    "de": "äöüßÄÖÜẞ",
+    "fr": "àâæçéèêëîïôœùûüÿÀÂÆÇÉÈÊËÎÏÔŒÙÛÜŸ",
+    "es": "áéíñóúüÁÉÍÑÓÚÜ",
+    "pt": "áâãàçéêíóôõúÁÂÃÀÇÉÊÍÓÔÕÚ",
+    "ru": "".join(map(chr, range(0x410, 0x450))) + "ёЁ",
+    "ja": "".join(map(chr, [*range(0x3041, 0x3097), *range(0x30A1, 0x30FD)])),
+}
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LOST = re.compile("[�\x80-\x9f]|[^\\W\\d_][─-▟√≠≥⌐]|[─-▟√≠≥⌐][^\\W\\d_]")
@@ -75,8 +89,14 @@ def read_as(raw: bytes, encoding: str) -> str:
     return "".join(chr(b) if b < 128 else table[b] for b in raw)
 
 
+Place = tuple[int, int, str]
+
+
 class Chain:
-    """One wrong reading: where it may have been, and how to undo it there."""
+    """One wrong reading: where it may have been, and how to undo it there.
+
+    ``split`` undoes it character by character, for runs that cannot be undone as a whole.
+    """
 
     def __init__(
         self,
@@ -87,9 +107,10 @@ class Chain:
         cost: int = CHAIN_COST,
         share: float = 0.0,
         lowered: bool = False,
+        split: Callable[[str], Iterator[Place]] | None = None,
     ) -> None:
         self.name, self.places, self.undo, self.cost, self.share = name, places, undo, cost, share
-        self.marks, self.lowered = [frozenset(m) for m in marks], lowered
+        self.marks, self.lowered, self.split = [frozenset(m) for m in marks], lowered, split
 
     def may_be_in(self, chars: set[str], is_lower: bool) -> bool:
         """Whether a text of these characters can hold a place; saves most searches."""
@@ -146,7 +167,35 @@ def _gb_chain() -> Chain:
                 pass
         return None
 
-    return Chain("utf-8 as gb18030", re.compile(r"[^\x00-\xff]+"), undo, (map(chr, range(0x4E00, 0xA000)),))
+    def split(found: str) -> Iterator[Place]:
+        start, raw = {0: 0}, b""
+        for k, c in enumerate(found, 1):
+            try:
+                raw += c.encode("gb18030")
+            except UnicodeEncodeError:
+                raw += b"\xff"
+            start[len(raw)] = k
+        at, low, new = 0, 0, ""
+        while at < len(raw):
+            size = next((n for n in (1, 2, 3, 4) if _is_utf8(raw[at : at + n])), 0)
+            new += raw[at : at + size].decode()
+            at += size or 1
+            if at in start and size:
+                yield low, start[at], new
+            if at in start or not size:
+                while at not in start:
+                    at += 1
+                low, new = start[at], ""
+
+    marks = (map(chr, range(0x4E00, 0xA000)),)
+    return Chain("utf-8 as gb18030", re.compile(r"[^\x00-\xff]+"), undo, marks, split=split)
+
+
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        return len(raw.decode()) == 1
+    except UnicodeDecodeError:
+        return False
 
 
 def _one_byte_chain(written: str, read: str) -> Chain:
@@ -184,7 +233,13 @@ def _one_byte_chain(written: str, read: str) -> Chain:
                 return None
         return "".join(out)
 
-    return Chain(f"{written} as {read}", seen, undo, (marks,), 2, ONE_BYTE_SHARE)
+    def split(found: str) -> Iterator[Place]:
+        for k, c in enumerate(found):
+            if (new := undo(c)) is not None:
+                yield k, k + 1, new
+
+    by_one = None if multi else split
+    return Chain(f"{written} as {read}", seen, undo, (marks,), 2, ONE_BYTE_SHARE, split=by_one)
 
 
 @functools.cache
@@ -209,7 +264,7 @@ def language(text: str) -> str:
 
 
 def train(texts: list[str]) -> dict[str, bytes]:
-    """A dictionary for each language that the texts have."""
+    """A dictionary for each language that the texts have, and their ``letters``."""
     by: dict[str, list[bytes]] = {}
     for t in texts:
         if t and not _LOST.search(t) and _plain(t):
@@ -217,7 +272,7 @@ def train(texts: list[str]) -> dict[str, bytes]:
             if len(mine) < PER_LANGUAGE:
                 mine.append(t.encode("utf-8", "surrogatepass"))
     out = {}
-    out["known"] = "".join(sorted(_known([t for t in texts if t and _plain(t)]))).encode()
+    out["letters"] = "".join(ALPHABET.get(name, "") for name in sorted(by)).encode()
     for name, samples in sorted(by.items()):
         try:
             out[name] = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -239,12 +294,30 @@ def _plain(text: str) -> bool:
     return True
 
 
-def _known(texts: list[str]) -> set[str]:
-    count: dict[str, int] = {}
-    for t in texts:
-        for c in set(t):
-            count[c] = count.get(c, 0) + 1
-    return {c for c, n in count.items() if n >= max(2, KNOWN_PART * len(texts)) and c != "�"}
+Seen = dict[str, tuple[int, int, int]]
+
+
+def characters(rows: list[tuple[int, str]]) -> Seen:
+    """For the characters of plain texts that are no ASCII the number of texts, and the least
+    and the largest id."""
+    out: Seen = {}
+    for i, t in rows:
+        if not t.isascii() and _plain(t):
+            for c in set(t):
+                if c > "\x7f" and c != "\ufffd":
+                    n, low, high = out.get(c, (0, i, i))
+                    out[c] = n + 1, min(i, low), max(i, high)
+    return out
+
+
+def with_known(made: dict[str, bytes], seen: Seen, texts: int) -> dict[str, bytes]:
+    """The dictionaries with the ``known`` and the ``rare`` characters."""
+    ascii_ = set(map(chr, range(128)))
+    rare = {c for c, (_, low, high) in seen.items() if low < high}
+    known = {c for c in rare if seen[c][0] >= KNOWN_PART * texts}
+    letters = set(made.get("letters", b"").decode())
+    more = {"known": known | ascii_, "rare": rare | letters | ascii_, "letters": letters}
+    return made | {k: "".join(sorted(v)).encode() for k, v in more.items()}
 
 
 class Costs:
@@ -252,9 +325,10 @@ class Costs:
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.by = {}
-        self.known = set(dictionaries.get("known", b"").decode())
+        names = ("known", "rare", "letters")
+        self.known, self.rare, self.letters = (set(dictionaries.get(k, b"").decode()) for k in names)
         for name, data in dictionaries.items():
-            if name == "known":
+            if name in names:
                 continue
             kind = zstandard.DICT_TYPE_AUTO
             held = zstandard.ZstdCompressionDict(data, dict_type=kind)
@@ -269,6 +343,15 @@ class Costs:
         raw = text.encode("utf-8", "surrogatepass")
         return min(self.by, key=lambda k: len(self.by[k].compress(raw)))
 
+    def may_restore(self, found: str, then: str, before: str, run: bool) -> bool:
+        """Whether the characters are known, or rare ones will do at this place."""
+        if self.known.issuperset(then):
+            return True
+        if run or len(found) > 2:
+            return all(c in self.rare or c in MARKS for c in then)
+        natural = self.known.issuperset(found) and not (before.islower() and found[0].isupper())
+        return not natural and all(c in self.known or c in self.letters for c in then)
+
     def of(self, text: str, name: str) -> int:
         return len(self.by[name].compress(text.encode("utf-8", "surrogatepass")))
 
@@ -287,7 +370,7 @@ def restore(text: str, costs: Costs) -> tuple[str, list[str]]:
         for chain in chains():
             if not chain.may_be_in(chars, is_lower):
                 continue
-            places = _places(chain, text, costs.known)
+            places = _places(chain, text, costs)
             if not places:
                 continue
             was = was or costs.language(text)
@@ -312,22 +395,35 @@ def restore(text: str, costs: Costs) -> tuple[str, list[str]]:
     return text, used
 
 
-Place = tuple[int, int, str]
-
-
-def _places(chain: Chain, text: str, known: set[str]) -> list[Place]:
-    new: dict[str, str | None] = {}
+def _places(chain: Chain, text: str, costs: Costs) -> list[Place]:
+    new: dict[tuple[str, bool], list[Place]] = {}
     out = []
     for m in chain.places.finditer(text):
-        found = m.group()
-        if found not in new:
-            then = chain.undo(found)
-            new[found] = then if then and then != found and known.issuperset(then) else None
-        if new[found]:
-            out.append((*m.span(), new[found]))
+        found, at = m.group(), m.start()
+        before = text[at - 1 : at]
+        key = found, before.islower()
+        if key not in new:
+            then, run = chain.undo(found), chain.split is not None
+            if then and then != found and costs.may_restore(found, then, before, run):
+                new[key] = [(0, len(found), then)]
+            else:
+                new[key] = _parts(chain, found, costs.rare)
+        out += [(at + a, at + b, then) for a, b, then in new[key]]
     return out
 
 
+def _parts(chain: Chain, found: str, rare: set[str]) -> list[Place]:
+    """The parts of a run whose characters can all be restored."""
+    out: list[Place] = []
+    for a, b, then in chain.split(found) if chain.split else ():
+        if not rare.issuperset(then):
+            continue
+        if out and out[-1][1] == a:
+            a, then = out[-1][0], out.pop()[2] + then
+        out.append((a, b, then))
+    return [(a, b, then) for a, b, then in out if b - a >= PART and then != found[a:b]]
+
+
 def _groups(places: list[Place]) -> Iterator[list[Place]]:
     group = [places[0]]
     for p in places[1:]:
@@ -347,7 +443,8 @@ def _applied(text: str, places: list[Place]) -> str:
 
 
 def dictionaries(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> dict[str, bytes]:
-    """Dictionaries trained in one task on about ``sample`` rows, picked by a hash of the id."""
+    """Dictionaries trained in one task on about ``sample`` rows, picked by a hash of the id,
+    and the known and rare characters, counted over all rows."""
     rows = id_text(df, id_col, text_col).filter("id is not null and text <> ''")
     n = rows.count()
     part = int(1_000_000 * min(1.0, sample / max(1, n)))
@@ -357,7 +454,17 @@ def dictionaries(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE
         made = train(of.sort_by("id")["text"].to_pylist())
         return pa.table({"language": pa.array(list(made)), "data": pa.array(list(made.values()), pa.binary())})
 
-    return dict(picked.groupBy("one").applyInArrow(learn, "language string, data binary").collect())
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in batches(it):
+            seen = characters(list(zip(ids, texts)))
+            columns = zip(*((c, *of) for c, of in seen.items()))
+            if seen:
+                yield pa.RecordBatch.from_pydict(dict(zip(("c", "n", "low", "high"), map(list, columns))))
+
+    made = dict(picked.groupBy("one").applyInArrow(learn, "language string, data binary").collect())
+    seen = rows.mapInArrow(count, "c string, n bigint, low bigint, high bigint").groupBy("c")
+    seen = seen.agg(F.sum("n"), F.min("low"), F.max("high")).collect()
+    return with_known(made, {c: tuple(of) for c, *of in seen}, n)
 
 
 def restored(
