@@ -321,6 +321,20 @@ def test_characters_are_counted_over_all_texts() -> None:
     assert encoding._parts(chain, "îäèíжîäèí", set("один")) == [(0, 4, "один"), (5, 9, "один")]
 
 
+def test_single_letters_of_one_byte_encodings_are_restored(spark: SparkSession) -> None:
+    clean = [t for t, _, _ in GARBLED] + ["Der Müller öffnete die Tür.", "Der Bäcker trug ein Mädchen.", "日本の話。これは古い時計です。"]
+    rows = [(k, t) for k, t in enumerate(clean * 40)]
+    story = "Der {} trug den schweren Korb bis zum Fluss und wartete dort auf den alten Nachbarn."
+    pairs = [("mac_roman", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp437"), ("cp1252", "mac_roman")]
+    bad = {1000 + k: (story, "Müller", *pair) for k, pair in enumerate(pairs)}
+    bad[1100] = (story, "Bäcker", "cp1252", "cp850")
+    bad[1200] = ("{}", "これは古い時計です。", "shift_jis", "latin-1")
+    garbled = [(k, t.format(w.encode(a).decode(b))) for k, (t, w, a, b) in bad.items()]
+    df = spark.createDataFrame([*rows, *garbled], "doc_id bigint, text string")
+    got = {r.doc_id: r.restored for r in encoding.restored(df).collect()}
+    assert got == {k: t.format(w) for k, (t, w, _, _) in bad.items()}
+
+
 def test_subjects_of_held_out_documents(spark: SparkSession, nothing) -> None:
     rng = random.Random(9)
     topics = {"law": "court judge trial appeal verdict".split(), "sport": "goal match team coach score".split()}

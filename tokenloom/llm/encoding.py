@@ -29,8 +29,9 @@ SAMPLE, DICT_BYTES, PER_LANGUAGE = 12_000, 64 << 10, 1_500
 #: Bytes that naming a chain costs, and that undoing it must save for each kind of place.
 CHAIN_COST = 1
 #: A chain of one-byte encodings, which says nothing about its places by itself, must save
-#: this part of their description.
-ONE_BYTE_SHARE = 0.2
+#: this part of their description, unless the restored words are words of the corpus, so
+#: many times as frequent as the words in their place, and in two texts at least.
+ONE_BYTE_SHARE, MORE_FREQUENT = 0.2, 10
 #: A restored character is known if it is in this part of all texts, and in two at least. It
 #: is rare if it is in two texts or in an alphabet; that is enough in runs and places of three characters,
 #: and for letters of an alphabet in shorter places that do not read as correct text.
@@ -47,6 +48,12 @@ UTF8_READ_AS = (
 ONE_BYTE = (
     ("cp1251", "cp1252"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"),
     ("cp866", "cp1251"), ("mac_roman", "cp1252"), ("mac_roman", "latin-1"),
+    ("koi8-r", "cp1252"), ("koi8-r", "latin-1"), ("cp866", "cp1252"), ("cp866", "latin-1"),
+    ("cp866", "koi8-r"), ("cp1251", "cp866"), ("koi8-r", "cp866"), ("cp1251", "mac_roman"),
+    ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp1252", "cp437"), ("cp1252", "cp850"),
+    ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp437", "latin-1"), ("cp850", "cp1252"),
+    ("cp850", "latin-1"), ("shift_jis", "cp1252"), ("shift_jis", "latin-1"),
+    ("euc_jp", "cp1252"), ("euc_jp", "latin-1"),
 )
 LETTERS = "äöüßÄÖÜéèêëàâçîïôûùœÉÈÊÀÂÇÔñáíóúÑÁÍÓÚãõÃÕìòÌÒ"
 MARKS = "“”‘’„—–…«»¿¡€£©°½"
@@ -68,6 +75,7 @@ ALPHABET = {
 }
 
 _WORD = re.compile(r"[^\W\d_]+")
+_ACCENTED = re.compile("[a-zß-öø-ɏ]*[ß-öø-ɏ][a-zß-öø-ɏ]*")
 _LOST = re.compile("[�\x80-\x9f]|[^\\W\\d_][─-▟√≠≥⌐]|[─-▟√≠≥⌐][^\\W\\d_]")
 
 
@@ -205,10 +213,12 @@ def _one_byte_chain(written: str, read: str) -> Chain:
     if written in ("cp1251", "koi8-r", "cp866") or multi:
         # Whole words of letters that are no ASCII; two in a row, or one of three letters.
         inside = "".join(re.escape(c) for b, c in table.items())
-        seen = re.compile(f"[{inside}]{{3,}}(?:[ -@]*[{inside}]+)*")
+        # The second byte of a Japanese character may be ASCII.
+        many = f"[{inside}](?:[ -~]?[{inside}]){{3,}}[ -~]?" if multi else f"[{inside}]{{3,}}(?:[ -@]*[{inside}]+)*"
+        seen = re.compile(many)
         marks = "".join(table.values())
     else:
-        usual = set(LETTERS + MARKS)
+        usual = set(LETTERS + MARKS) - set("õ" if read == "cp850" else "")
         image = {table[b] for b, c in into.items() if c in LETTERS + MARKS and b in table}
         strange = "".join(re.escape(c) for c in sorted(image - usual)) or "￾"
         upper = "".join(re.escape(c) for c in sorted(image) if c.isupper())
@@ -219,10 +229,13 @@ def _one_byte_chain(written: str, read: str) -> Chain:
 
     def undo(found: str) -> str | None:
         if multi:
-            try:
-                return bytes([ord(c) if ord(c) < 128 else back[c] for c in found]).decode(written)
-            except (UnicodeDecodeError, KeyError):
-                return None
+            for end in (len(found), len(found) - 1):
+                try:
+                    raw = bytes([ord(c) if ord(c) < 128 else back[c] for c in found[:end]])
+                    return raw.decode(written) + found[end:]
+                except (UnicodeDecodeError, KeyError):
+                    pass
+            return None
         out = []
         for c in found:
             if ord(c) < 128:
@@ -298,26 +311,29 @@ Seen = dict[str, tuple[int, int, int]]
 
 
 def characters(rows: list[tuple[int, str]]) -> Seen:
-    """For the characters of plain texts that are no ASCII the number of texts, and the least
-    and the largest id."""
+    """For the characters of plain texts that are no ASCII, and for the words of Latin letters
+    with one of them, the number of texts, and the least and the largest id."""
     out: Seen = {}
     for i, t in rows:
         if not t.isascii() and _plain(t):
-            for c in set(t):
-                if c > "\x7f" and c != "\ufffd":
+            words = {w for w in _ACCENTED.findall(t.lower()) if len(w) > 1}
+            for c in words.union(t):
+                if c != "\ufffd" and not c.isascii():
                     n, low, high = out.get(c, (0, i, i))
                     out[c] = n + 1, min(i, low), max(i, high)
     return out
 
 
 def with_known(made: dict[str, bytes], seen: Seen, texts: int) -> dict[str, bytes]:
-    """The dictionaries with the ``known`` and the ``rare`` characters."""
+    """The dictionaries with the ``known`` and the ``rare`` characters, and the ``words``."""
     ascii_ = set(map(chr, range(128)))
-    rare = {c for c, (_, low, high) in seen.items() if low < high}
+    often = {c for c, (_, low, high) in seen.items() if low < high}
+    rare = {c for c in often if len(c) == 1}
+    words = "\n".join(f"{w} {seen[w][0]}" for w in sorted(often - rare))
     known = {c for c in rare if seen[c][0] >= KNOWN_PART * texts}
     letters = set(made.get("letters", b"").decode())
     more = {"known": known | ascii_, "rare": rare | letters | ascii_, "letters": letters}
-    return made | {k: "".join(sorted(v)).encode() for k, v in more.items()}
+    return made | {k: "".join(sorted(v)).encode() for k, v in more.items()} | {"words": words.encode()}
 
 
 class Costs:
@@ -327,8 +343,10 @@ class Costs:
         self.by = {}
         names = ("known", "rare", "letters")
         self.known, self.rare, self.letters = (set(dictionaries.get(k, b"").decode()) for k in names)
+        lines = dictionaries.get("words", b"").decode().split("\n")
+        self.words = {w: int(n) for w, _, n in (x.partition(" ") for x in lines) if w}
         for name, data in dictionaries.items():
-            if name in names:
+            if name in (*names, "words"):
                 continue
             kind = zstandard.DICT_TYPE_AUTO
             held = zstandard.ZstdCompressionDict(data, dict_type=kind)
@@ -352,6 +370,11 @@ class Costs:
         natural = self.known.issuperset(found) and not (before.islower() and found[0].isupper())
         return not natural and all(c in self.known or c in self.letters for c in then)
 
+    def confirms(self, found: str, then: str) -> bool:
+        """Whether words of the corpus are restored, where there are no such words."""
+        old, new = ([self.words.get(w, 0) for w in _ACCENTED.findall(t.lower()) if len(w) > 1] for t in (found, then))
+        return min(new, default=0) >= max(2, MORE_FREQUENT * max(old, default=0))
+
     def of(self, text: str, name: str) -> int:
         return len(self.by[name].compress(text.encode("utf-8", "surrogatepass")))
 
@@ -377,13 +400,16 @@ def restore(text: str, costs: Costs) -> tuple[str, list[str]]:
             names = {was, costs.language(_applied(text, places))}
             kept, saved = [], -chain.cost
             for group in _groups(places):
-                low, high = max(0, group[0][0] - AROUND), group[-1][1] + AROUND
-                now = text[low:high]
-                moved = [(a - low, b - low, new) for a, b, new in group]
-                before = min(costs.of(now, name) for name in names)
-                gain = before - min(costs.of(_applied(now, moved), name) for name in names)
+                gain, before = _gain(text, group, costs, names)
                 sure = not chain.share and any(b - a > 2 for a, b, _ in group)
-                if gain >= max(0 if sure else chain.cost + 1, chain.share * before):
+                if chain.share and gain < chain.share * before:
+                    group = [p for p in group if costs.confirms(text[p[0] : p[1]], p[2])]
+                    if not group:
+                        continue
+                    gain, before = _gain(text, group, costs, names)
+                    sure = True
+                least = chain.share * before if not sure else 0
+                if gain >= max(chain.share > 0 if sure else chain.cost + 1, least):
                     kept += group
                     saved += gain + 2 * sure
             if kept and saved > best[0]:
@@ -395,6 +421,15 @@ def restore(text: str, costs: Costs) -> tuple[str, list[str]]:
     return text, used
 
 
+def _gain(text: str, group: list[Place], costs: Costs, names: set[str]) -> tuple[int, int]:
+    """What undoing saves of the description of the places and the text around, and the latter."""
+    low, high = max(0, group[0][0] - AROUND), group[-1][1] + AROUND
+    now = text[low:high]
+    moved = [(a - low, b - low, new) for a, b, new in group]
+    before = min(costs.of(now, name) for name in names)
+    return before - min(costs.of(_applied(now, moved), name) for name in names), before
+
+
 def _places(chain: Chain, text: str, costs: Costs) -> list[Place]:
     new: dict[tuple[str, bool], list[Place]] = {}
     out = []
@@ -463,7 +498,7 @@ def dictionaries(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE
 
     made = dict(picked.groupBy("one").applyInArrow(learn, "language string, data binary").collect())
     seen = rows.mapInArrow(count, "c string, n bigint, low bigint, high bigint").groupBy("c")
-    seen = seen.agg(F.sum("n"), F.min("low"), F.max("high")).collect()
+    seen = seen.agg(F.sum("n"), F.min("low"), F.max("high")).filter("min(low) < max(high)").collect()
     return with_known(made, {c: tuple(of) for c, *of in seen}, n)
 
 
