@@ -69,6 +69,14 @@ def test_repetition_equals_brute_force(spark: SparkSession) -> None:
     assert {r[0] for r in repetition.repetitive_records(df).collect()} == want
 
 
+def test_repetition_in_a_text_that_compresses_badly(spark: SparkSession) -> None:
+    rng = random.Random(11)
+    text = "the cat sat on the mat now " * 2 + "".join(rng.choice("0123456789+/=#%&!?<>") for _ in range(9000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert brute_share(text) == (14, 7)
+    assert [r[0] for r in repetition.repetitive_records(df).collect()] == [1]
+
+
 def test_repetition_of_odd_rows(odd, nothing) -> None:
     rows = repetition.repetition(odd).collect()
     assert len(rows) == len(ODD) + 1

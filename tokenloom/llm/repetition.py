@@ -3,7 +3,7 @@
 Every text is compressed whole and in fixed chunks. How far zstandard gets depends on
 the length, so each band of lengths has its own limits: below the lower one a text may
 be repetitive, above the upper one it is incompressible. The share itself is then
-measured on words, and only a text that its band calls repetitive can be a case.
+measured on words in every text and alone decides what is a case.
 """
 
 from __future__ import annotations
@@ -121,11 +121,9 @@ def _measured(
 def repetitive_records(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3
 ) -> DataFrame:
-    """Distinct ids of texts whose band calls them repetitive and whose share is
-    ``least`` or more. Rows without an id are no records."""
+    """Distinct ids of texts whose share is ``least`` or more, whatever their band. Rows without an id are no records."""
     found = repetition(df, id_col, text_col).filter(
-        (F.col("verdict") == "repetitive")
-        & (F.col("n_words") > 0)
+        (F.col("n_words") > 0)
         & (F.col("repeated_share") >= least)
         & F.col("doc_id").isNotNull()
     )
