@@ -41,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter = np.zeros(0x110000, np.int8)
     lower = np.arange(0x110000, dtype=np.uint64)
     for c in range(0x110000):
@@ -51,7 +51,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
             if len(low := ch.lower()) == 1:
                 lower[c] = ord(low)
     lower[ord("ς")] = ord("σ")
-    return letter, mix(lower + _U(1))
+    return letter, mix(lower + _U(1)), lower.astype(np.uint32)
 
 
 class _Powers:
@@ -83,7 +83,7 @@ def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def words(texts: list[str]) -> Words:
     joined = "\n".join(texts) + "\n"
-    letter, value = _tables()
+    letter, value, _ = _tables()
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     edge = np.flatnonzero(np.diff(letter[code], prepend=np.int8(0)))
     start, end = edge[::2], edge[1::2]
@@ -97,6 +97,19 @@ def words(texts: list[str]) -> Words:
     return Words(joined, start, end, doc, hashed)
 
 
+def spelled(w: Words, order: np.ndarray) -> tuple[str, np.ndarray]:
+    """The words in an order, in lower case and with a blank behind each, and where the word
+    of each place of the order begins, with the whole length last."""
+    code = np.frombuffer(w.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = (w.end - w.start + 1)[order]
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    from_ = np.repeat(w.start[order] - at[:-1], size) + np.arange(at[-1])
+    out = _tables()[2][code[from_]]
+    out[at[1:] - 1] = ord(" ")
+    return out.tobytes().decode("utf-32-le", "surrogatepass"), at
+
+
 def runs(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Start word and hash of every run of ``n`` words within one text."""
     size = len(w.hash) - n + 1
