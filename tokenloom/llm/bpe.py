@@ -2,29 +2,37 @@
 
 A text falls into pieces by the vocabulary's pattern. Within a piece the tokens are found
 by dynamic programming over its prefixes: each prefix of an encodable string has exactly
-one last token, so it is enough to store that token. An automaton over all tokens gives
-the tokens that end at a place; the right one is the first whose left neighbour, the last
-token of the prefix before it, is compatible, that is, the two side by side encode to
-themselves. Following the last tokens back from the end gives the ids.
+one last token, so it is enough to store that token. A suffix automaton of the vocabulary
+follows the text and holds the longest suffix read that lies in some token; the tokens
+that end at a place are found up its links. The right one is the first whose left
+neighbour, the last token of the prefix before it, is compatible, that is, the two side by
+side encode to themselves. Following the last tokens back from the end gives the ids.
+
+The driver reads the vocabulary and builds the automaton, once; tasks get both as a
+broadcast of some megabytes, whatever the input.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
+import pickle
 from collections.abc import Iterator
 from pathlib import Path
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from tokenloom.functions.patterns import python_pattern
+from tokenloom.llm.automaton import build
 from tokenloom.llm.common import id_text
 
-#: Where the vocabulary files are; a parameter of every operator.
+#: Where the vocabulary files are on the driver; a parameter of every operator.
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces whose ids a worker remembers, and the longest such piece in characters.
 REMEMBERED, LONGEST = 400_000, 40
@@ -33,22 +41,27 @@ REMEMBERED, LONGEST = 400_000, 40
 class Encoder:
     """The vocabulary of one file of base64 tokens and ranks; ranks are ids."""
 
-    def __init__(self, path: str = VOCAB, pattern: str = "gpt2") -> None:
-        self.ids = {
-            base64.b64decode(token): int(rank)
-            for token, rank in map(bytes.split, Path(path).read_bytes().splitlines())
-        }
-        self.pieces = regex.compile(python_pattern(pattern)).findall
-        self.automaton = ahocorasick.Automaton()
-        self.length = {}
-        for token, k in self.ids.items():
-            self.automaton.add_word(token.decode("latin-1"), (k, len(token)))
-            self.length[k] = len(token)
-        self.automaton.make_automaton()
+    def __init__(self, data: bytes, pattern: str = "gpt2") -> None:
+        self.ids = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
+        self.pattern = pattern
+        self.automaton = build(self.ids)
         self.parts = self._parts()
+        self._ready()
+
+    def _ready(self) -> None:
+        self.pieces = regex.compile(python_pattern(self.pattern)).findall
+        self.token = {k: t for t, k in self.ids.items()}
+        self.length = {k: len(t) for t, k in self.ids.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.known = _Known(self)
 
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("ids", "pattern", "automaton", "parts")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._ready()
+
     def _parts(self) -> dict[int, tuple[int, int]]:
         """The two tokens each token was merged from: those whose union has its rank,
         found by running the merges below that rank on its bytes."""
@@ -82,7 +95,7 @@ class Encoder:
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
-        token, ids, parts = self._bytes, self.ids, self.parts
+        token, ids, parts = self.token, self.ids, self.parts
         limit = len(token) + 1
         while True:
             joined = ids.get(token[left] + token[right])
@@ -97,10 +110,6 @@ class Encoder:
                     return True
                 limit, right = right + 1, parts[right][0]
 
-    @functools.cached_property
-    def _bytes(self) -> dict[int, bytes]:
-        return {k: t for t, k in self.ids.items()}
-
     def piece(self, text: str) -> list[int]:
         """Ids of one piece."""
         raw = text.encode("utf-8", "surrogatepass")
@@ -109,18 +118,32 @@ class Encoder:
             return [whole]
         size = len(raw)
         last: list[int] = [-1] * (size + 1)
-        length, fits = self.length, self.compatible
-        for end, (k, n) in self.automaton.iter(raw.decode("latin-1")):
-            end += 1
-            if last[end] < 0:
-                start = end - n
-                if not start or last[start] >= 0 and fits(last[start], k):
-                    last[end] = k
-        out, at = [], size
+        start, labels, to, link, length, value, upper = self.automaton
+        fits, find = self.compatible, labels.find
+        state = matched = 0
+        for end, c in enumerate(raw, 1):
+            k = find(c, start[state], start[state + 1])
+            while k < 0 and state:
+                state = link[state]
+                matched = length[state]
+                k = find(c, start[state], start[state + 1])
+            if k < 0:
+                continue
+            state, matched = to[k], matched + 1
+            at = state if value[state] >= 0 and length[state] <= matched else upper[state]
+            while at:
+                before = end - length[at]
+                if not before or last[before] >= 0 and fits(last[before], value[at]):
+                    last[end] = value[at]
+                    break
+                at = upper[at]
+        out, at, sizes = [], size, self.length
         while at:
             k = last[at]
+            if k < 0:
+                raise ValueError("the vocabulary lacks a byte of the text")
             out.append(k)
-            at -= length[k]
+            at -= sizes[k]
         out.reverse()
         return out
 
@@ -153,7 +176,27 @@ class _Known(dict):
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str = VOCAB, pattern: str = "gpt2") -> Encoder:
-    return Encoder(path, pattern)
+    """The encoder of a vocabulary file, on the driver."""
+    return Encoder(Path(path).read_bytes(), pattern)
+
+
+def shared(df: DataFrame, path: str, pattern: str) -> Broadcast[tuple[str, bytes]]:
+    """The encoder for all tasks, packed, and its name."""
+    data = pickle.dumps(encoder(path, pattern))
+    packed = zstandard.compress(data, 3)
+    return df.sparkSession.sparkContext.broadcast((hashlib.sha1(packed).hexdigest(), packed))
+
+
+_HELD: dict[str, Encoder] = {}
+
+
+def held(named: tuple[str, bytes]) -> Encoder:
+    """The encoder in a worker, which unpacks it once."""
+    name, packed = named
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = pickle.loads(zstandard.decompress(packed))
+    return _HELD[name]
 
 
 def token_ids(
@@ -169,8 +212,10 @@ def token_ids(
     kept, other columns are not carried.
     """
 
+    every = shared(df, path, pattern)
+
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(path, pattern)
+        one = held(every.value)
         for batch in it:
             texts = batch.column(1).to_pylist()
             flat: list[int] = []
@@ -197,8 +242,10 @@ def token_counts(
 ) -> DataFrame:
     """``doc_id, n_tokens`` for each row; null and empty texts have 0."""
 
+    every = shared(df, path, pattern)
+
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(path, pattern)
+        one = held(every.value)
         for batch in it:
             n = [one.count(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
