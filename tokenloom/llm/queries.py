@@ -18,8 +18,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The measures of every record; deliveries of one record come once."""
+    """Words and repeated share of every record, also of those that the bands call plain."""
     measured = repetition.repetition(table(spark, sf_dir, "tinystories_sample"))
+    words = F.coalesce("n_words", F.lit(0)).alias("n_words")
+    return measured.filter("doc_id is not null").select("doc_id", words, F.round("repeated_share", 6).alias("repeated_share")).distinct()
+
+
+def p1_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios, band and verdict of every record, and the share where it had to be counted."""
+    measured = repetition.repetition(table(spark, sf_dir, "tinystories_sample"), count_all=False)
     return measured.filter("doc_id is not null").distinct()
 
 
@@ -34,7 +41,7 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_restored(spark, sf_dir).select("doc_id").distinct()
+    return encoding.restored(table(spark, sf_dir, "tinystories_sample")).select("doc_id").distinct()
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +58,11 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-grams of one to five words that are not rare."""
+    return terms.frequent_ngrams(table(spark, sf_dir, "tinystories_sample"), [1, 2, 3, 4, 5])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "tinystories_sample"))
 
@@ -87,12 +99,14 @@ def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_shares": p1_shares,
+    "p1_bands": p1_bands,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p4_ngrams": p4_ngrams,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p6_ids": p6_ids,
@@ -150,11 +164,23 @@ _COUNTS = f"""WITH {_RECORDS}, terms AS (
 SQL: dict[str, str] = {
     "p1_found": f"""{_REPEATED} SELECT doc_id FROM c JOIN w USING (doc_id)
 WHERE again * 10 >= len(w) * 3""",
+    "p1_shares": f"""{_REPEATED} SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words,
+  CASE WHEN text IS NOT NULL THEN round(coalesce(again, 0) / greatest(len(w), 1), 6) END AS repeated_share
+FROM r LEFT JOIN w USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "p2_found": """SELECT DISTINCT run_id, doc_id FROM tinystories_sample
 JOIN train_bpe USING (input_path)
 WHERE strlen(text) > coalesce(stream_chunk_chars, 1000000)""",
     "p4_found": f"{_COUNTS} SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_counts": f"{_COUNTS} SELECT field_name, term, occurrences, records, mark FROM marked",
+    "p4_ngrams": f"""WITH {_RECORDS}, n AS (SELECT unnest(range(1, 6)) AS n), g AS (
+  SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS term
+  FROM w, n WHERE len(w) >= n
+), counted AS (
+  SELECT term, CAST(n AS INT) AS n_terms, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY term, n
+)
+SELECT term, n_terms, occurrences, records,
+  CASE WHEN records * 4 > (SELECT count(DISTINCT doc_id) FROM tinystories_sample) THEN 'common' END AS mark
+FROM counted WHERE records >= 3""",
     "p5_found": f"""WITH {_RECORDS}, s AS (
   SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i:
     array_to_string(w[i:i + 2], ' '))) AS s FROM w WHERE len(w) >= 20
