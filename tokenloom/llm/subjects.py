@@ -1,10 +1,12 @@
 """Problem 8: the subject areas of a document.
 
-Each subject has an interpolated n-gram language model, of single words and of pairs of
-words over the single ones, and one background model stands for texts of no subject. A
-sentence belongs to the subject whose model gives it fewer bits per word than the
-background by more than a margin. A document deals with every subject of more than a fifth
-of its sentences; the margin is calibrated on labelled documents.
+Each subject has an interpolated model of pairs of words, and so has the background, the
+texts of no subject: the probability of a word after another is a part of how often the
+subject has the pair, a part of how often it has the word, and a part of how often all
+texts have it. A sentence deals with a subject whose model gives it fewer bits per word than the background does,
+by more than the margin of that subject; with several, if they come near the best one. A document
+deals with every subject of more than a fifth of its sentences. The margins and how near
+is near are calibrated on labelled documents that the models have not seen.
 
 Labels are given for documents, not for sentences, so training is repeated: the sentences
 of a labelled document start with its subjects, and after each round only those that the
@@ -14,27 +16,33 @@ background.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import id_text
 from tokenloom.llm.words import Words, chunks, mix, words
 
-#: Bound of the labelled documents that the models are fitted on.
-SAMPLE = 16_000
-#: Slots of the hashed tables of words and of pairs, as powers of two.
-WORD_BITS, PAIR_BITS = 19, 21
-#: Weight of the pair model against the words, and pseudo-counts of both.
-PAIR_WEIGHT, WORD_PRIOR, PAIR_PRIOR = 0.4, 0.2, 2.0
-ROUNDS = 4
+#: Bounds of what the models are fitted on: about so many labelled documents, and of these
+#: only those of at most so many characters.
+SAMPLE, LONGEST = 8_000, 50_000
+#: Parts of the interpolation: of the pairs behind a frequent word, and of all texts; and
+#: the occurrences of a word that give its pairs half their part.
+PAIR_PART, COMMON_PART, HALF = 0.5, 0.1, 8
+#: Rounds of training, and the bits per word that keep a sentence with a subject there.
+ROUNDS, KEPT = 2, 0.1
+#: One document in so many is held out to calibrate on.
+HELD = 5
+MARGINS = np.arange(0.0, 4.01, 0.05)
+NEAR = (0.0, 0.25, 0.5, 1.0)
 SHARE = 5
 _SENTENCE = regex.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』”]*|\s*[\r\n]+\s*")
 _JAPANESE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -42,12 +50,18 @@ _U = np.uint64
 
 
 class Models(NamedTuple):
-    """Log-probability ratios against the background for each subject."""
+    """Bits that each subject saves against the background, by column: ``pair`` for the
+    sorted hashes ``pairs``; for other pairs ``after`` of the first word and ``word`` of the
+    second, by the sorted hashes ``words``. Words that are not there say nothing."""
 
     names: list[str]
+    words: np.ndarray
+    pairs: np.ndarray
     word: np.ndarray
+    after: np.ndarray
     pair: np.ndarray
-    margin: float
+    margin: np.ndarray
+    near: float
 
 
 def sentences(text: str) -> list[str]:
@@ -61,26 +75,34 @@ def sentences(text: str) -> list[str]:
 
 
 class Grams:
-    """The words and pairs of the sentences of some texts."""
+    """The words and pairs of the sentences of some texts; 0 stands before the first word."""
 
     def __init__(self, texts: list[str]) -> None:
-        parts, self.of = [], []
+        parts, of = [], []
         for k, text in enumerate(texts):
             mine = sentences(text)
             parts += mine
-            self.of += [k] * len(mine)
-        self.of = np.array(self.of, np.int64)
-        self.n = len(parts)
+            of += [k] * len(mine)
+        self.of = np.array(of, np.int64)
+        self.n, self.texts = len(parts), len(texts)
         w: Words = words([_spread(p) for p in parts])
-        self.word = (w.hash >> _U(64 - WORD_BITS)).astype(np.int64)
-        self.sentence = w.doc
+        self.word, self.sentence = w.hash, w.doc
+        self.before = np.zeros(len(w.hash), np.uint64)
+        self.before[1:] = w.hash[:-1]
         first = np.ones(len(w.hash), bool)
         first[1:] = w.doc[1:] != w.doc[:-1]
-        before = np.zeros(len(w.hash), np.uint64)
-        before[1:] = w.hash[:-1]
-        before[first] = 0
-        self.pair = (mix(before + w.hash * _U(3)) >> _U(64 - PAIR_BITS)).astype(np.int64)
+        self.before[first] = 0
+        self.pair = mix(self.before + self.word * _U(3))
+        self.start = np.flatnonzero(first)
         self.words = np.bincount(w.doc, minlength=self.n)
+        self.all = np.bincount(self.of, minlength=self.texts)
+
+    def per_sentence(self, gain: np.ndarray) -> np.ndarray:
+        """Mean over the words of each sentence."""
+        out = np.zeros(self.n)
+        if len(gain):
+            out[self.sentence[self.start]] = np.add.reduceat(gain, self.start)
+        return out / np.maximum(self.words, 1)
 
 
 def _spread(sentence: str) -> str:
@@ -90,95 +112,138 @@ def _spread(sentence: str) -> str:
     return sentence
 
 
+def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of hashes in a sorted array, -1 where they are not."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
+
+
 def scores(m: Models, g: Grams) -> np.ndarray:
     """Bits per word that each subject saves against the background, by sentence."""
-    gain = m.word[g.word] * np.float32(1 - PAIR_WEIGHT) + m.pair[g.pair] * np.float32(PAIR_WEIGHT)
-    total = np.zeros((g.n, len(m.names)))
-    if len(g.word):
-        start = np.flatnonzero(np.r_[True, g.sentence[1:] != g.sentence[:-1]])
-        total[g.sentence[start]] = np.add.reduceat(gain, start, axis=0)
-    return total / np.maximum(g.words, 1)[:, None]
+    word, pair, before = (_places(k, h) for k, h in ((m.words, g.word), (m.pairs, g.pair), (m.words, g.before)))
+    out = np.zeros((g.n, len(m.names)), np.float32)
+    seen, known, after = pair >= 0, word >= 0, before >= 0
+    backed = known & ~seen
+    both = backed & after
+    for k in range(len(m.names)):
+        gain = np.zeros(len(word), np.float32)
+        gain[seen] = m.pair[pair[seen], k]
+        gain[backed] = m.word[word[backed], k]
+        gain[both] += m.after[before[both], k]
+        out[:, k] = g.per_sentence(gain)
+    return out
 
 
-def assigned(m: Models, g: Grams, margin: float | None = None) -> np.ndarray:
-    """Subject of each sentence, -1 for none."""
-    s = scores(m, g)
+def dealt(m: Models, s: np.ndarray) -> np.ndarray:
+    """Which subjects each sentence deals with."""
     if not len(s):
-        return np.zeros(0, np.int64)
-    best = s.argmax(axis=1)
-    limit = m.margin if margin is None else margin
-    return np.where(s[np.arange(len(s)), best] > limit, best, -1)
+        return np.zeros(s.shape, bool)
+    return (s > m.margin) & (s >= s.max(axis=1, keepdims=True) - m.near)
 
 
-def shares(which: np.ndarray, g: Grams, n_texts: int, n_names: int) -> np.ndarray:
-    """Sentences of each subject by text, and in the last column all sentences."""
-    out = np.zeros((n_texts, n_names + 1), np.int64)
-    some = which >= 0
-    np.add.at(out, (g.of[some], which[some]), 1)
-    out[:, -1] = np.bincount(g.of, minlength=n_texts)
+def shares(which: np.ndarray, g: Grams) -> np.ndarray:
+    """Sentences of each subject by text."""
+    out = np.zeros((g.texts, which.shape[1]), np.int64)
+    sentence, k = np.nonzero(which)
+    np.add.at(out, (g.of[sentence], k), 1)
     return out
 
 
 def fit(texts: list[str], labels: list[frozenset[str]], names: list[str]) -> Models:
     """Models from labelled texts; an empty set of labels means no subject."""
-    held = np.arange(len(texts)) % 5 == 4
-    m = _fit([t for t, h in zip(texts, held) if not h], [x for x, h in zip(labels, held) if not h], names)
-    test, truth = [t for t, h in zip(texts, held) if h], [x for x, h in zip(labels, held) if h]
-    if not test:
-        return m
-    g = Grams(test)
-    want = np.array([[n in x for n in names] for x in truth])
-    best = (-1.0, 0.0)
-    for margin in np.arange(0.0, 2.01, 0.05):
-        s = shares(assigned(m, g, margin), g, len(test), len(names))
-        got = s[:, :-1] * SHARE > s[:, -1:]
-        hits = (got & want).sum()
-        best = max(best, (2 * hits / max(1, got.sum() + want.sum()), -float(margin)))
-    return m._replace(margin=-best[1])
-
-
-def _fit(texts: list[str], labels: list[frozenset[str]], names: list[str]) -> Models:
-    g = Grams(texts)
-    allowed = np.array([[n in x for n in names] for x in labels]).reshape(len(texts), len(names))
-    own = allowed[g.of] if g.n else np.zeros((0, len(names)), bool)
+    held = np.arange(len(texts)) % HELD == HELD - 1
+    allowed = np.array([[n in x for n in names] for x in labels], bool).reshape(len(texts), len(names))
+    if not allowed.any():
+        none = np.zeros(0, np.uint64)
+        table = np.zeros((0, len(names)), np.float16)
+        return Models(names, none, none, table, table, table, np.full(len(names), np.inf), 0.0)
+    g = Grams([t for t, h in zip(texts, held) if not h])
+    own = allowed[~held][g.of]
     share = own / np.maximum(own.sum(axis=1), 1)[:, None]
-    m = Models(names, *_ratios(g, share), 0.1)
+    m = _models(names, g, share)
     for _ in range(ROUNDS):
-        s = np.where(own, scores(m, g), -np.inf)
-        best = s.argmax(axis=1) if len(s) else np.zeros(0, np.int64)
-        ok = s[np.arange(len(s)), best] > m.margin
-        share = np.zeros(s.shape)
-        share[np.flatnonzero(ok), best[ok]] = 1
-        m = Models(names, *_ratios(g, share), 0.1)
-    return m
-
-
-def _ratios(g: Grams, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log2 ratios of interpolated probabilities to those of the sentences of no subject."""
-    rest = np.maximum(1 - share.sum(axis=1), 0)
-    weights = np.c_[share, rest][g.sentence]
-    n = weights.shape[1]
-    word = np.zeros((1 << WORD_BITS, n), np.float32)
-    pair = np.zeros((1 << PAIR_BITS, n), np.float32)
-    for k in range(n):
-        word[:, k] = np.bincount(g.word, weights[:, k], minlength=1 << WORD_BITS)
-        pair[:, k] = np.bincount(g.pair, weights[:, k], minlength=1 << PAIR_BITS)
-    every = word.sum(axis=1, keepdims=True)
-    base = (every + 0.01) / (every.sum() + 0.01 * len(word))
-    total = word.sum(axis=0, keepdims=True)
-    p = (word + WORD_PRIOR * base * 1000) / (total + WORD_PRIOR * 1000)
-    both = pair.sum(axis=1, keepdims=True)
-    like = (pair + PAIR_PRIOR * (both + 0.01) / (both.sum() + 0.01 * len(pair)) * 1000) / (
-        pair.sum(axis=0, keepdims=True) + PAIR_PRIOR * 1000
+        m = _models(names, g, _kept(m, g, own))
+    m = _calibrated(m, Grams([t for t, h in zip(texts, held) if h]), allowed[held])
+    g = Grams(texts)
+    whole = _models(names, g, _kept(m, g, allowed[g.of]))
+    return whole._replace(margin=m.margin, near=m.near)
+
+
+def _kept(m: Models, g: Grams, own: np.ndarray) -> np.ndarray:
+    """Each sentence with the best of its document's subjects, or with none."""
+    s = np.where(own, scores(m, g), -np.inf)
+    best = s.argmax(axis=1)
+    ok = np.flatnonzero(s[np.arange(len(s)), best] > KEPT)
+    share = np.zeros(s.shape)
+    share[ok, best[ok]] = 1
+    return share
+
+
+def _models(names: list[str], g: Grams, share: np.ndarray) -> Models:
+    """Log2 ratios of the interpolated probabilities to those of the background."""
+    known, word = np.unique(g.word, return_inverse=True)
+    pairs, first, pair = np.unique(g.pair, return_index=True, return_inverse=True)
+    # The start of a sentence is a context of its own behind all words.
+    context = np.where(g.before == 0, len(known), _places(known, g.before))
+    of_pair, in_pair = context[first], word[first]
+    common = np.bincount(word, minlength=len(known)) / max(1, len(word))
+    logs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k in range(len(names) + 1):
+        weight = (share[:, k] if k < len(names) else np.maximum(1 - share.sum(axis=1), 0))[g.sentence]
+        n = np.bincount(word, weight, len(known))
+        before = np.bincount(context, weight, len(known) + 1)
+        alone = (1 - COMMON_PART) * n / max(n.sum(), 1) + COMMON_PART * common
+        part = PAIR_PART * before / (before + HALF)
+        seen = np.bincount(pair, weight, len(pairs)) / np.maximum(before, 1e-9)[of_pair]
+        p = part[of_pair] * seen + (1 - part[of_pair]) * alone[in_pair]
+        logs.append((np.log2(alone), np.log2(1 - part[:-1]), np.log2(p)))
+    tables = (
+        np.stack([(own - rest).astype(np.float16) for own, rest in zip(kind[:-1], kind[-1:] * len(names))], axis=1)
+        for kind in zip(*logs)
     )
-    lw, lp = np.log2(p), np.log2(like)
-    return (lw[:, :-1] - lw[:, -1:]).astype(np.float32), (lp[:, :-1] - lp[:, -1:]).astype(np.float32)
+    return Models(names, known, pairs, *tables, np.full(len(names), KEPT), 0.0)
+
+
+def _calibrated(m: Models, g: Grams, want: np.ndarray) -> Models:
+    """The margin of each subject, and how near to the best one is near enough, with the
+    best balance of found and true subjects of documents.
+
+    A subject takes the margin nearest to that of all subjects together among those that
+    are as good as its best one but for half a document.
+    """
+    s = scores(m, g)
+    if not len(s):
+        return m
+    best = s.max(axis=1, keepdims=True)
+    true = want.sum(axis=0)
+    found: list[tuple[float, Models]] = []
+    for near in NEAR:
+        right, got = (np.zeros((len(MARGINS), len(m.names)), np.int64) for _ in range(2))
+        for k in range(len(m.names)):
+            close = s[:, k] >= best[:, 0] - near
+            for j, x in enumerate(MARGINS):
+                n = np.bincount(g.of[close & (s[:, k] > x)], minlength=g.texts)
+                ok = n * SHARE > g.all
+                right[j, k], got[j, k] = (ok & want[:, k]).sum(), ok.sum()
+        balance = 2 * right / np.maximum(1, got + true)
+        whole = 2 * right.sum(axis=1) / np.maximum(1, got.sum(axis=1) + true.sum())
+        good = np.flatnonzero(whole >= whole.max() - 0.003)
+        middle = good[len(good) // 4]
+        enough = balance >= balance.max(axis=0) - 0.5 / np.maximum(1, true)
+        far = np.where(enough, np.abs(np.arange(len(MARGINS)) - middle)[:, None], len(MARGINS))
+        at = far.argmin(axis=0)
+        hits, other = right[at, range(len(at))].sum(), got[at, range(len(at))].sum()
+        found.append((2 * hits / max(1, other + true.sum()), m._replace(margin=MARGINS[at], near=near)))
+    return max(found, key=lambda f: (f[0], -f[1].near))[1]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SAMPLE) -> DataFrame:
     """``text, given`` of at most about ``sample`` labelled documents, picked by a hash of
     their ids; ``given`` lists the subjects as spelled in ``names``. Labels that are null or
-    unknown are left out, ``none`` gives an empty list."""
+    unknown are left out, ``none`` gives an empty list. Documents of more than ``LONGEST``
+    characters are not fitted on."""
     known = F.create_map(*(F.lit(v) for n in [*names, "none"] for v in (n.lower(), n)))
     clean = labels.select(
         F.col("doc_id").alias("id"), F.element_at(known, F.lower(F.trim("subject"))).alias("s")
@@ -186,7 +251,7 @@ def labelled(docs: DataFrame, labels: DataFrame, names: list[str], sample: int =
     given = clean.groupBy("id").agg(F.array_remove(F.collect_set("s"), "none").alias("given"))
     n = given.count()
     part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n)))
-    texts = id_text(docs, "doc_id", "text").filter("text <> ''")
+    texts = id_text(docs, "doc_id", "text").filter((F.col("text") != "") & (F.length("text") <= LONGEST))
     return texts.join(given.filter(part), "id").select("id", "text", "given")
 
 
@@ -199,29 +264,11 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int =
         rows = rows.sort_by("id")
         given = [frozenset(x) for x in rows["given"].to_pylist()]
         m = fit(rows["text"].to_pylist(), given, names)
-        return pa.table({"model": pa.array([_pack(m)], pa.binary())})
+        return pa.table({"model": pa.array([zstandard.compress(pickle.dumps(m), 1)], pa.binary())})
 
     rows = labelled(docs, labels, names, sample).withColumn("one", F.lit(1))
     made = rows.groupBy("one").applyInArrow(learn, "model binary").collect()
-    return _unpack(made[0][0]) if made else fit([], [], names)
-
-
-def _pack(m: Models) -> bytes:
-    import zstandard
-
-    return zstandard.compress(pickle.dumps(m._replace(word=_half(m.word), pair=_half(m.pair))), 1)
-
-
-def _half(x: np.ndarray) -> np.ndarray:
-    """Ratios to a sixteenth of a bit, as bytes."""
-    return np.clip(np.round(x * 16), -127, 127).astype(np.int8)
-
-
-def _unpack(data: bytes) -> Models:
-    import zstandard
-
-    m = pickle.loads(zstandard.decompress(data))
-    return m
+    return pickle.loads(zstandard.decompress(made[0][0])) if made else fit([], [], names)
 
 
 def subjects_of(
@@ -234,27 +281,28 @@ def subjects_of(
 ) -> DataFrame:
     """``doc_id, subject, sentences, of_all`` for each subject of each document.
 
-    A document has a subject if more than a fifth of its sentences deal with it, and so
-    none to four. Null, empty and wordless texts and rows without an id have none; repeated
-    rows come out as often. Without labels no subject is found.
+    A document has a subject if more than a fifth of its sentences deal with it. Null,
+    empty and wordless texts and rows without an id have none; repeated rows come out as
+    often. Without labels no subject is found.
     """
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, subjects, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(_pack_once(model))
+    packed = zstandard.compress(pickle.dumps(model), 1)
+    shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha1(packed).hexdigest(), packed))
 
     def classify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _loaded(shared.value)
+        m = _held(shared.value)
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts, 500_000):
                 g = Grams(texts[a:b])
-                s = shares(assigned(m, g), g, b - a, len(m.names))
-                doc, k = np.nonzero(s[:, :-1] * SHARE > s[:, -1:])
+                n = shares(dealt(m, scores(m, g)), g)
+                doc, k = np.nonzero(n * SHARE > g.all[:, None])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[a + d] for d in doc], pa.int64()),
                         pa.array([m.names[j] for j in k], pa.string()),
-                        pa.array(s[doc, k]),
-                        pa.array(s[doc, -1]),
+                        pa.array(n[doc, k]),
+                        pa.array(g.all[doc]),
                     ],
                     ["doc_id", "subject", "sentences", "of_all"],
                 )
@@ -265,21 +313,13 @@ def subjects_of(
     )
 
 
-def _pack_once(m: Models) -> bytes:
-    import zstandard
-
-    return zstandard.compress(pickle.dumps(m), 1)
-
-
-_MODEL: dict[int, Models] = {}
+_MODEL: dict[str, Models] = {}
 
 
-def _loaded(data: bytes) -> Models:
-    key = hash(data)
-    if key not in _MODEL:
+def _held(named: tuple[str, bytes]) -> Models:
+    """The models in a worker, which unpacks them once."""
+    name, packed = named
+    if name not in _MODEL:
         _MODEL.clear()
-        m = _unpack(data)
-        _MODEL[key] = m._replace(
-            word=m.word.astype(np.float32) / 16, pair=m.pair.astype(np.float32) / 16
-        )
-    return _MODEL[key]
+        _MODEL[name] = pickle.loads(zstandard.decompress(packed))
+    return _MODEL[name]
