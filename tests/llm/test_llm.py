@@ -11,7 +11,7 @@ import pytest
 import regex
 from pyspark.sql import SparkSession
 
-from tokenloom.llm import automaton, bpe, encoding, neardup, packing, pieces, repetition, subjects, terms
+from tokenloom.llm import automaton, bpe, encoding, neardup, packing, pieces, repetition, sketch, subjects, terms
 from tokenloom.llm import words as W
 
 ODD = [(1, None), (2, ""), (3, "   \n"), (4, "one"), (None, "no id at all " * 30), (5, "x" * 70_000)]
@@ -238,8 +238,8 @@ def test_hot_columns_are_split_without_loss() -> None:
     base = rng.integers(1, 1 << 60, 400).astype(np.uint64)
     texts = [" ".join(f"w{chr(97 + int(x) % 26)}{chr(97 + int(x) // 26 % 26)}" for x in rng.permutation(400)[:40]) for _ in range(40)]
     texts += [t + " tail end" for t in texts]
-    order = np.full(1 << 24, neardup.sketch.level(np.array([2])), np.uint8)
-    hot = np.full(1 << 24, neardup.sketch.level(np.array([3 * neardup.HOT])), np.uint8)
+    order = np.full(1 << 20, sketch.level(np.array([2])), np.uint8)
+    hot = np.full(1 << 20, sketch.level(np.array([12 * neardup.HOT])), np.uint8)
     found = []
     for table in (order, hot):
         held = neardup._Held(4)
@@ -255,10 +255,33 @@ def test_hot_columns_are_split_without_loss() -> None:
     assert len(base) and found[0] == found[1] and len(found[0]) >= 40
 
 
+def test_counts_of_hot_keys_are_not_clipped(spark: SparkSession, monkeypatch) -> None:
+    monkeypatch.setattr(sketch, "FAN_IN", 2)
+    monkeypatch.setattr(sketch, "GATHERED", 1000)
+    monkeypatch.setattr(sketch, "HELD", 50)
+    n, hot = 300_000, np.uint64(0xABCDEF << 40)
+    df = spark.range(n, numPartitions=7).select("id", "id")
+    rare = np.arange(100, dtype=np.uint64) * np.uint64(0x01F00000 << 32)
+
+    def keys(batch):
+        yield np.full(batch.num_rows, hot)
+        yield rare
+
+    table = np.frombuffer(sketch.count_keys(df, keys, 20), np.uint8)
+    (at,) = sketch.places(np.array([hot]), 20)
+    assert 0.9 * n < sketch.from_level(table[at : at + 1])[0] <= n
+    batches = table[sketch.places(rare, 20)]
+    assert (batches == batches[0]).all() and batches[0] >= 7
+    assert np.count_nonzero(table) == len({at, *sketch.places(rare, 20)})
+    assert sketch.bits_for(0) == 20 and sketch.bits_for(10**12) == sketch.MOST_BITS
+
+
 def test_large_classes_are_stars(spark: SparkSession, nothing, odd) -> None:
     text = " ".join("abcdefghijklmnopqrstuvwxyz")
     rows = [(k, text) for k in range(neardup.EXPAND + 6)] + [(500, text + " more")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    every = [*range(neardup.EXPAND + 6), 500]
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df, expand=None).collect()} == set(itertools.combinations(every, 2))
     got = {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()}
     assert got == {(0, k) for k in range(1, neardup.EXPAND + 6)} | {(0, 500)}
     by = {r.doc_id: (r.class_id, r.links) for r in neardup.near_duplicate_classes(df).collect()}

@@ -9,8 +9,9 @@ up overlaps and places; a pair goes when its sizes, or the overlap that is still
 behind the last common column, rule it out. Parity bitmaps of the rows rule out most of
 the rest, without losing a pair, and the pairs left are compared exactly on their texts.
 
-The order comes from counts of all runs in all records, in a table of fixed size
-(``sketch``); it decides only how many pairs are looked at, never which are found.
+The order comes from counts of all runs in all records, in a table whose size follows
+the input up to a bound (``sketch``); it decides only how many pairs are looked at, never
+which are found.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WORDS, SHARE, LEAST_WORDS = 3, 60, 20
 BLOCK_ENTRIES = 2_000_000
 #: A column in more records than this is cut into groups whose pairs are separate blocks.
 HOT = 8_192
+#: Different runs that a record adds, for the size of the table of counts.
+NEW_RUNS = 64
 #: Up to this many records of one text, byte by byte, are written out in pairs; of more
 #: copies each is paired with the first one only, which stands for the text elsewhere.
 EXPAND = 64
@@ -138,7 +141,8 @@ def near_duplicates(
             once[np.unique(known, return_index=True)[1]] = True
             yield r.h[np.repeat(once, r.size)]
 
-    table = rows.sparkSession.sparkContext.broadcast(sketch.count_keys(rows, keys))
+    counts = sketch.count_keys(rows, keys, sketch.bits_for(NEW_RUNS * df.count()))
+    table = rows.sparkSession.sparkContext.broadcast(counts)
     levels = np.frombuffer(table.value, np.uint8)
     counted = np.bincount(levels, minlength=256) @ sketch.from_level(np.arange(256))
     entries = float(counted) * (100 - share) / 100
@@ -156,6 +160,7 @@ def near_duplicates(
         yield from held.blobs()
 
     def multiply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition holds one block.
         by_block: dict[int, list[bytes]] = {}
         for batch in it:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -164,7 +169,7 @@ def near_duplicates(
             yield from product(by_block.popitem()[1], share)
 
     blobs = rows.mapInArrow(scatter, _BLOB)
-    partial = blobs.repartition(blocks, "block").mapInArrow(multiply, _SHORT)
+    partial = blobs.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(multiply, _SHORT)
     summed = partial.groupBy("a", "b", "sizes").agg(
         F.sum("hits").alias("hits"), F.max("last").alias("last")
     )
@@ -224,7 +229,7 @@ class _Held:
     def add(self, r: Rows, order: np.ndarray, share: int) -> None:
         if not len(r.docs):
             return
-        low = order[(r.h >> _U(64 - sketch.BITS)).astype(np.int64)]
+        low = order[sketch.places(r.h, len(order).bit_length() - 1)]
         column = (low.astype(np.uint64) << _U(56)) | (r.h & _U((1 << 56) - 1))
         row = np.repeat(np.arange(len(r.docs)), r.size)
         by = np.lexsort((column, row))
@@ -402,16 +407,18 @@ def _pairs(
 def _compared(kept: DataFrame, rows: DataFrame, n: int, share: int, least: int) -> DataFrame:
     """The pairs whose texts really are similar.
 
-    Only texts of some pair are moved. They are picked through a bit table of fixed size
-    over their ids, which may let others pass but none of them be lost.
+    Only texts of some pair are moved. They are picked through a bit table over their ids,
+    of 16 bits for each pair and 16 MB at most, which may let others pass but none of them
+    be lost.
     """
     ids = kept.select(F.explode(F.array("id_a", "id_b")).alias("id"))
-    wanted = kept.sparkSession.sparkContext.broadcast(_bit_table(ids))
+    bits = sketch.bits_for(16 * kept.count())
+    wanted = kept.sparkSession.sparkContext.broadcast(_bit_table(ids, bits))
 
     def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(wanted.value, np.uint8)
         for batch in it:
-            h = _place(batch.column(0).to_numpy())
+            h = _place(batch.column(0).to_numpy(), bits)
             yield batch.filter(pa.array((table[h >> 3] >> (h & 7) & 1).astype(bool)))
 
     texts = rows.mapInArrow(pick, "id bigint, text string")
@@ -444,17 +451,17 @@ def similar(x: list[str], y: list[str], n: int, share: int, least: int) -> np.nd
     return (both > 0) & (100 * both >= share * (size - both))
 
 
-def _place(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> _U(64 - sketch.BITS)).astype(np.int64)
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    return sketch.places(mix(ids.astype(np.int64).view(np.uint64)), bits)
 
 
-def _bit_table(ids: DataFrame) -> bytes:
-    """2**BITS bits, set at the hashes of the ids; two megabytes whatever the input."""
+def _bit_table(ids: DataFrame, size: int) -> bytes:
+    """2**size bits, set at the hashes of the ids."""
 
     def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << sketch.BITS, bool)
+        bits = np.zeros(1 << size, bool)
         for batch in it:
-            bits[_place(batch.column(0).to_numpy())] = True
+            bits[_place(batch.column(0).to_numpy(), size)] = True
         for slot, part in enumerate(bits.reshape(-1, 1 << sketch.SLICE_BITS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays(
@@ -470,25 +477,25 @@ def _bit_table(ids: DataFrame) -> bytes:
         return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()])})
 
     kind = "slot int, bits binary"
-    whole = np.zeros((1 << sketch.BITS) // 8, np.uint8)
+    whole = np.zeros((1 << size) // 8, np.uint8)
     width = (1 << sketch.SLICE_BITS) // 8
     for slot, bits in ids.mapInArrow(places, kind).groupBy("slot").applyInArrow(union, kind).collect():
         whole[slot * width : (slot + 1) * width] = np.frombuffer(bits, np.uint8)
     return whole.tobytes()
 
 
-def near_duplicate_pairs(df: DataFrame, **options: object) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, expand: int | None = EXPAND, **options: object) -> DataFrame:
     """``doc_id_a, doc_id_b``, a < b, of similar records.
 
     All pairs between different texts come out, also where their runs are equal. Only of
-    more than ``EXPAND`` records with the very same text each is paired with the first one
+    more than ``expand`` records with the very same text each is paired with the first one
     alone, which stands for them in all other pairs, so the rows do not grow as the square
-    of the copies.
+    of the copies. With ``None`` all pairs of copies come out too.
     """
     pairs, members = near_duplicates(df, **options)
     members = members.distinct()
     copies = members.groupBy("class", "copy").agg(F.count("*").alias("n"), F.min("doc_id").alias("head"))
-    starred = F.col("n") > EXPAND
+    starred = F.lit(False) if expand is None else F.col("n") > expand
     inside = members.join(copies, ["class", "copy"])
     stars = inside.filter(starred & (F.col("doc_id") != F.col("head"))).select(
         F.col("head").alias("x"), F.col("doc_id").alias("y")

@@ -181,6 +181,19 @@ WHERE strlen(text) > coalesce(stream_chunk_chars, 1000000)""",
 SELECT term, n_terms, occurrences, records,
   CASE WHEN records * 4 > (SELECT count(DISTINCT doc_id) FROM tinystories_sample) THEN 'common' END AS mark
 FROM counted WHERE records >= 3""",
+    "p5_classes": f"""WITH {_RECORDS}, s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i:
+    array_to_string(w[i:i + 2], ' '))) AS s FROM w WHERE len(w) >= 20
+), c AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(list(s))) AS class_id, count(*) AS n FROM s GROUP BY doc_id
+), m AS (SELECT class_id AS doc_id, s FROM c JOIN s USING (doc_id) WHERE doc_id = class_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM m a JOIN m b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a AS class_id, count(*) AS links FROM o JOIN c x ON a = x.doc_id JOIN c y ON b = y.doc_id
+  WHERE 100 * o >= 60 * (x.n + y.n - o) GROUP BY a
+)
+SELECT doc_id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN l USING (class_id)""",
     "p5_found": f"""WITH {_RECORDS}, s AS (
   SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i:
     array_to_string(w[i:i + 2], ' '))) AS s FROM w WHERE len(w) >= 20
