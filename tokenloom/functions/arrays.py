@@ -122,3 +122,27 @@ def windows(tokens: Column, length: int) -> Column:
             F.slice(tokens, i, F.lit(length)).alias("x"), F.slice(tokens, i + 1, F.lit(length)).alias("y")
         ),
     )
+
+
+def sample_starts(key: Column, places: Column, many: int, seed: int) -> Column:
+    """``many`` numbers from 0 to ``places`` - 1, each as likely as the others and the same
+    for the same ``key`` and ``seed``: steps of a multiplicative generator modulo a prime."""
+    # The modulus 2^31 - 1 and a public multiplier for it.
+    prime, factor = 2_147_483_647, 48_271
+    first = F.pmod(key.cast("long") * 1_000_003 + seed, F.lit(prime - 1)) + 1
+    drawn = lambda i: ((first * (i + 1) % prime) * factor % prime) * factor % prime
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")), lambda i: drawn(i) % places)
+
+
+def sample_batch(tokens: Column, key: Column, many: int, length: int, seed: int) -> Column:
+    """``many`` windows ``struct(x, y)`` drawn from all that ``windows`` gives, with
+    repetition; none where there is no window."""
+    places = F.size(tokens) - length
+    each = F.transform(
+        sample_starts(key, F.greatest(places, F.lit(1)), many, seed),
+        lambda i: F.struct(
+            F.slice(tokens, (i + 1).cast("int"), F.lit(length)).alias("x"),
+            F.slice(tokens, (i + 2).cast("int"), F.lit(length)).alias("y"),
+        ),
+    )
+    return F.when(places > 0, each).when(tokens.isNotNull(), F.slice(each, 1, 0))

@@ -7,10 +7,13 @@ rank order equals always merging the pair of least rank, and a fold over built-i
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from tokenloom.operators.pretokenize import pretokenize, segments_of, words_of
 
 #: Pieces that one worker remembers, and the longest such piece in characters.
 REMEMBERED, LONGEST = 300_000, 40
+#: Ids up to so many times the size of the vocabulary are looked up in an array.
+SPARSE = 8
 
 
 class Tokenizer:
@@ -94,15 +99,29 @@ class Tokenizer:
         return known
 
     def _merged(self, piece: str) -> list[int]:
-        """Always merges the leftmost pair of least rank, until there is none."""
-        parts = [bytes([b]) for b in piece.encode("utf-8", "surrogatepass")]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(p, len(self.ranks)), k) for k, p in enumerate(zip(parts, parts[1:]))]
-            rank, k = min(ranked)
-            if rank == len(self.ranks):
-                break
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return [self.ids[p] for p in parts]
+        """Always merges the leftmost pair of least rank, until there is none.
+
+        The parts are a linked list and the pairs wait in a heap, so a piece of n bytes
+        takes n log n steps. An entry counts only while its two parts are as they were.
+        """
+        parts: list[bytes | None] = [bytes([b]) for b in piece.encode("utf-8", "surrogatepass")]
+        n, ranks = len(parts), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[p], k, *p) for k, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, k, left, right = heapq.heappop(heap)
+            other = after[k]
+            if parts[k] != left or other >= n or parts[other] != right:
+                continue
+            parts[k], parts[other] = left + right, None
+            after[k] = after[other]
+            if after[k] < n:
+                before[after[k]] = k
+            for low, high in ((before[k], k), (k, after[k])):
+                if low >= 0 and high < n and (pair := (parts[low], parts[high])) in ranks:
+                    heapq.heappush(heap, (ranks[pair], low, *pair))
+        return [self.ids[p] for p in parts if p is not None]
 
     def encode(self, text: str) -> list[int]:
         return [
@@ -168,23 +187,33 @@ class Tokenizer:
 
     def merge_column(self, cells: Column) -> Column:
         """Cells after all merges, as a fold over built-ins."""
-        rows = [
-            F.struct(
-                F.lit(f"<{a.hex().upper()}><{b.hex().upper()}>").alias("f"),
-                F.lit(f"<{(a + b).hex().upper()}>").alias("t"),
-            )
-            for a, b in self.merges
-        ]
-        if not rows:
+        if not self.merges:
             return cells
-        return F.aggregate(F.array(*rows), cells, lambda acc, m: F.replace(acc, m["f"], m["t"]))
+        hexed = ((a.hex().upper(), b.hex().upper()) for a, b in self.merges)
+        rows = constant([{"f": f"<{a}><{b}>", "t": f"<{a}{b}>"} for a, b in hexed], "array<struct<f:string,t:string>>")
+        return F.aggregate(rows, cells, lambda acc, m: F.replace(acc, m["f"], m["t"]))
 
     def ids_column(self, cells: Column) -> Column:
-        """Ids of merged cells; a token that the vocabulary lacks is an error."""
-        pairs = [x for t, i in self.ids.items() for x in (F.lit(t.hex().upper()), F.lit(i))]
-        table = F.create_map(*pairs)
+        """Ids of merged cells; a token that the vocabulary lacks is an error.
+
+        The tokens lie in buckets by their hash, one for each token on average, so a token
+        is found in a step or two and not by a search through the vocabulary.
+        """
+        n = max(1, len(self.ids))
+        buckets: list[list[dict]] = [[] for _ in range(n)]
+        for t, i in self.ids.items():
+            shown = t.hex().upper()
+            h = xxhash.xxh64_intdigest(shown.encode(), seed=42)
+            buckets[(h - (1 << 64) if h >> 63 else h) % n].append({"t": shown, "i": i})
+        table = constant(buckets, "array<array<struct<t:string,i:int>>>")
         missing = lambda t: F.raise_error(F.concat(F.lit("no id for token "), t)).cast("int")
-        return F.transform(symbols(cells), lambda t: F.coalesce(F.try_element_at(table, t), missing(t)))
+
+        def id_of(t: Column) -> Column:
+            held = F.get(table, F.pmod(F.xxhash64(t), F.lit(n)).cast("int"))
+            found = F.get(F.filter(held, lambda e: e["t"] == t), F.lit(0))
+            return F.coalesce(found["i"], missing(t))
+
+        return F.transform(symbols(cells), id_of)
 
     def text_column(self, text: Column) -> Column:
         """Ids of whole texts, as one expression of built-ins; needs ``rank_safe``."""
@@ -211,15 +240,19 @@ class Tokenizer:
         distinct = words.select("w", "is_special").distinct()
         return distinct.select("w", encode("w", "is_special").alias("ids"))
 
-    def encode_frame(self, df: DataFrame, id_col: str = "doc_id", text: str = "text", how: str = "arrow") -> DataFrame:
-        """``id_col, ids`` of every row. An empty text gives an empty array, null gives null.
+    def encode_frame(
+        self, df: DataFrame, id_col: str = "doc_id", text: str = "text", how: str = "arrow", keep: Iterable[str] = ()
+    ) -> DataFrame:
+        """``id_col, ids`` of every row, and the columns to ``keep`` between them. An empty text
+        gives an empty array, null gives null.
 
         ``how`` is ``arrow``, ``column`` (built-ins only, slower, needs ``rank_safe``) or
         ``words`` (distinct words are encoded once and joined back, for slow tokenizers and
         few distinct words); all give the same. Repeated rows stay.
         """
+        keep = list(keep)
         if how == "column":
-            return df.select(F.col(id_col), self.text_column(F.col(text)).alias("ids"))
+            return df.select(F.col(id_col), *keep, self.text_column(F.col(text)).alias("ids"))
         if how == "arrow":
             one = self
 
@@ -227,10 +260,11 @@ class Tokenizer:
             def encode(t: pd.Series) -> pd.Series:
                 return pd.Series([None if x is None else one.encode(x) for x in t], dtype=object)
 
-            return df.select(F.col(id_col), encode(F.col(text)).alias("ids"))
+            return df.select(F.col(id_col), *keep, encode(F.col(text)).alias("ids"))
         if how != "words":
             raise ValueError(f"how must be column, arrow or words, not {how!r}")
-        rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+        held = F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(f"k{k}") for k, c in enumerate(keep)))
+        rows = df.select(held.alias("id"), F.col(text).alias("text"))
         # The number of a row is made and used in one branch only, so it can't differ between two.
         some = rows.filter("text <> ''").withColumn("row", F.monotonically_increasing_id())
         words = pretokenize(some, "text", self.specials, self.pattern)
@@ -239,21 +273,37 @@ class Tokenizer:
         whole = coded.groupBy("row", "id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
         empty = F.when(F.col("text") == "", F.array().cast("array<int>"))
         none = rows.filter("text is null or text = ''").select("id", empty.alias("ids"))
-        return whole.select("id", "ids").unionByName(none).withColumnRenamed("id", id_col)
-
-    def decode_frame(self, df: DataFrame, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
-        """``id_col, text``: the texts of arrays of ids; broken UTF-8 becomes U+FFFD and an
-        unknown id is an error."""
-        if set(self.vocab) == set(range(len(self.vocab))):
-            held = F.array(*(F.lit(self.vocab[i].hex().upper()) for i in range(len(self.vocab))))
-            token = lambda i: F.get(held, i)
-        else:
-            pairs = [x for i, t in self.vocab.items() for x in (F.lit(i), F.lit(t.hex().upper()))]
-            token = lambda i: F.try_element_at(F.create_map(*pairs), i)
+        every = whole.select("id", "ids").unionByName(none)
+        kept = (F.col(f"id.k{k}").alias(c) for k, c in enumerate(keep))
+        return every.select(F.col("id.id").alias(id_col), *kept, "ids")
+
+    def decode_frame(self, df: DataFrame, id_col: str = "doc_id", ids: str = "ids", keep: Iterable[str] = ()) -> DataFrame:
+        """``id_col, text``: the texts of arrays of ids, and the columns to ``keep`` between
+        them; broken UTF-8 becomes U+FFFD and an unknown id is an error.
+
+        The tokens are an array by id, so one is found in one step. Ids far above the size
+        of the vocabulary are decoded by an Arrow function instead.
+        """
+        most = max(self.vocab, default=-1)
+        if min(self.vocab, default=0) < 0 or most >= SPARSE * (len(self.vocab) + 1000):
+            one = self
+
+            @F.pandas_udf("string")
+            def decode(lists: pd.Series) -> pd.Series:
+                return pd.Series([None if x is None else one.decode(x) for x in lists], dtype=object)
+
+            return df.select(F.col(id_col), *keep, decode(F.col(ids)).alias("text"))
+        shown = [t.hex().upper() if (t := self.vocab.get(i)) is not None else None for i in range(most + 1)]
+        held = constant(shown, "array<string>")
         missing = lambda i: F.raise_error(F.concat(F.lit("no token for id "), i.cast("string"))).cast("string")
-        tokens = F.transform(F.col(ids), lambda i: F.coalesce(token(i), missing(i)))
+        tokens = F.transform(F.col(ids), lambda i: F.coalesce(F.get(held, i), missing(i)))
         raw = F.unhex(F.array_join(tokens, ""))
-        return df.select(F.col(id_col), F.make_valid_utf8(raw.cast("string")).alias("text"))
+        return df.select(F.col(id_col), *keep, F.make_valid_utf8(raw.cast("string")).alias("text"))
+
+
+def constant(value: object, kind: str) -> Column:
+    """A constant of any size as one literal, which the optimizer reads once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def make_tokenizer(
