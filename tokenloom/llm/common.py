@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.sources.shared import cut as cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,29 +16,6 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tokenloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: later jobs read files instead of the lineage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, under fixed names, so that no other column can clash."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-
-def batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
-    for batch in it:
-        yield batch.column(0).to_pylist(), batch.column(1).to_pylist()

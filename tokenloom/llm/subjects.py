@@ -46,6 +46,7 @@ NEAR = (0.0, 0.25, 0.5, 1.0)
 SHARE = 5
 _SENTENCE = regex.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』”]*|\s*[\r\n]+\s*")
 _JAPANESE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_LETTER = regex.compile(r"\p{L}").search
 _U = np.uint64
 
 
@@ -71,7 +72,7 @@ def sentences(text: str) -> list[str]:
         out.append(text[at : m.end()])
         at = m.end()
     out.append(text[at:])
-    return [s for s in out if regex.search(r"\p{L}", s)]
+    return [s for s in out if _LETTER(s)]
 
 
 class Grams:
@@ -99,10 +100,9 @@ class Grams:
 
     def per_sentence(self, gain: np.ndarray) -> np.ndarray:
         """Mean over the words of each sentence."""
-        out = np.zeros(self.n)
-        if len(gain):
-            out[self.sentence[self.start]] = np.add.reduceat(gain, self.start)
-        return out / np.maximum(self.words, 1)
+        out = np.zeros((self.n, gain.shape[1]), np.float32)
+        out[self.sentence[self.start]] = np.add.reduceat(gain, self.start)
+        return out / np.maximum(self.words, 1).astype(np.float32)[:, None]
 
 
 def _spread(sentence: str) -> str:
@@ -122,18 +122,21 @@ def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def scores(m: Models, g: Grams) -> np.ndarray:
     """Bits per word that each subject saves against the background, by sentence."""
-    word, pair, before = (_places(k, h) for k, h in ((m.words, g.word), (m.pairs, g.pair), (m.words, g.before)))
     out = np.zeros((g.n, len(m.names)), np.float32)
-    seen, known, after = pair >= 0, word >= 0, before >= 0
-    backed = known & ~seen
-    both = backed & after
-    for k in range(len(m.names)):
-        gain = np.zeros(len(word), np.float32)
-        gain[seen] = m.pair[pair[seen], k]
-        gain[backed] = m.word[word[backed], k]
-        gain[both] += m.after[before[both], k]
-        out[:, k] = g.per_sentence(gain)
-    return out
+    if not len(g.word) or not len(m.words):
+        return out
+    word, pair = _places(m.words, g.word), _places(m.pairs, g.pair)
+    before = np.r_[-1, word[:-1]]
+    before[g.start] = -1
+    seen = pair >= 0
+    backed = np.flatnonzero((word >= 0) & ~seen)
+    both = backed[before[backed] >= 0]
+    seen = np.flatnonzero(seen)
+    gain = np.zeros((len(word), len(m.names)), np.float32)
+    gain[seen] = m.pair[pair[seen]]
+    gain[backed] = m.word[word[backed]]
+    gain[both] += m.after[before[both]]
+    return g.per_sentence(gain)
 
 
 def dealt(m: Models, s: np.ndarray) -> np.ndarray:
