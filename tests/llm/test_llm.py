@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import regex
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tokenloom.llm import automaton, bpe, encoding, neardup, packing, pieces, repetition, sketch, subjects, terms
 from tokenloom.llm import words as W
@@ -140,7 +141,9 @@ def test_pieces_end_at_the_best_boundary() -> None:
         pieces.split("a", 0)
 
 
-def test_pieces_of_tables(spark: SparkSession, nothing) -> None:
+@pytest.mark.parametrize("limit", [pieces.RUNS_BYTES, 0])
+def test_pieces_of_tables(spark: SparkSession, nothing, monkeypatch, limit: int) -> None:
+    monkeypatch.setattr(pieces, "RUNS_BYTES", limit)
     kind = "run_id bigint, input_path string, special_tokens array<string>, stream_chunk_chars bigint, overlap_chars bigint, started_at string"
     runs = spark.createDataFrame(
         [(1, "p", None, 8, None, "a"), (1, "p", None, 8, None, "b"), (2, "p", ["|"], None, 3, "a"), (3, None, None, 1, 1, "a"), (4, "p", [], 0, 0, "a")],
@@ -151,6 +154,12 @@ def test_pieces_of_tables(spark: SparkSession, nothing) -> None:
     got = pieces.oversized_pieces(stories, runs).orderBy("piece").collect()
     assert [(r.run_id, r.doc_id, r.piece_text) for r in got] == [(1, 1, "aaaa "), (1, 1, "bbbb "), (1, 1, "cccc")]
     assert [r.start_byte for r in got] == [0, 5, 10]
+    whole = pieces.joined_pieces(pieces.oversized_pieces(stories, runs)).collect()
+    assert [tuple(r) for r in whole] == [(1, 1, "aaaa bbbb cccc", 5)]
+    overlapping = runs.select("run_id", "input_path", "special_tokens", F.lit(9).alias("stream_chunk_chars"), F.lit(4).alias("overlap_chars"), "started_at")
+    texts = spark.createDataFrame([(1, "äöü日本 🙂🙂 ß" * 5, "p")], "doc_id bigint, text string, input_path string")
+    whole = pieces.joined_pieces(pieces.oversized_pieces(texts, overlapping)).collect()
+    assert {(r.text, r.longest <= 9) for r in whole} == {("äöü日本 🙂🙂 ß" * 5, True)} and len(whole) == 3
     assert pieces.oversized_pieces(nothing, runs).collect() == []
     assert pieces.oversized_pieces(stories, runs.filter("false")).collect() == []
 
@@ -371,6 +380,10 @@ def test_packing_places_every_item_once(spark: SparkSession) -> None:
     assert out.container.nunique() <= 1.02 * out.n_tokens.sum() / 100 + 2
     empty = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     assert packing.pack(empty, 100).collect() == []
+    packed = packing.pack(spark.createDataFrame([(1, 250), (2, 60), (3, 0)], "doc_id bigint, n_tokens bigint"), 100)
+    assert {tuple(r) for r in packing.placed(packed, 100).collect()} == {(1, True), (2, True), (3, True)}
+    wrong = packed.filter("doc_id <> 1 or piece <> 1").withColumn("container", F.lit(0))
+    assert {tuple(r) for r in packing.placed(wrong, 100).collect()} == {(1, False), (2, False), (3, False)}
 
 
 def test_packed_documents(odd) -> None:

@@ -251,3 +251,19 @@ def pack_documents(
 ) -> DataFrame:
     """The containers of the texts of ``df``, sized in tokens of the vocabulary at ``path``."""
     return pack(token_counts(df, id_col, text_col, path), capacity)
+
+
+def placed(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``doc_id, placed``: whether the pieces of an item follow each other without a gap, all
+    but the last full, and lie in containers that hold no more than their capacity. Items of
+    one id count together."""
+    loads = packed.groupBy("container").agg((F.sum("n_tokens") <= capacity).alias("fits"))
+    ordered = packed.join(loads, "container").groupBy("doc_id").agg(
+        F.min("fits").alias("fits"),
+        F.countDistinct("piece").alias("n"),
+        F.max("piece").alias("last"),
+        F.min((F.col("start") == F.col("piece") * capacity) & (F.col("n_tokens") <= capacity)).alias("at"),
+        F.sum(F.when(F.col("n_tokens") == capacity, 1).otherwise(0)).alias("full"),
+    )
+    whole = F.col("fits") & F.col("at") & (F.col("n") == F.col("last") + 1) & (F.col("full") >= F.col("last"))
+    return ordered.select("doc_id", whole.alias("placed"))

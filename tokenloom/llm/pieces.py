@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.patterns import python_specials
@@ -23,8 +23,9 @@ PIECES = (
     "cut string, piece_text string"
 )
 DEFAULT_LIMIT = 1_000_000
-#: A table of runs up to this many bytes, as Spark knows them, is sent to all executors.
-RUNS_BYTES = 8 << 20
+#: A table of runs up to this many bytes is sent to all executors. A larger one is joined by
+#: path, where the texts of one path are spread over so many parts.
+RUNS_BYTES, SALTS = 8 << 20, 64
 
 PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*")
 SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』”]*|(?:\r\n|\n|\r)")
@@ -99,16 +100,18 @@ def oversized_pieces(stories: DataFrame, train: DataFrame) -> DataFrame:
     run has no pieces; a limit that is not positive is none. Pieces count from 0.
     """
     runs = runs_of(train)
-    size = int(runs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    least = runs.agg(F.min("most")).first()[0]
-    if least is None:
-        least = DEFAULT_LIMIT
+    each = F.octet_length("path") + F.octet_length(F.array_join("specials", "")) + 64
+    least, size = runs.agg(F.min("most"), F.sum(each)).first()
     large = stories.select("doc_id", "text", F.col("input_path").alias("path")).filter(
-        (F.octet_length("text") > F.lit(least)) & F.col("doc_id").isNotNull()
-    )
-    due = large.join(F.broadcast(runs) if size <= RUNS_BYTES else runs, "path").filter(
-        F.octet_length("text") > F.col("most")
+        (F.octet_length("text") > F.lit(DEFAULT_LIMIT if least is None else least)) & F.col("doc_id").isNotNull()
     )
+    if (size or 0) <= RUNS_BYTES:
+        due = large.join(F.broadcast(runs), "path")
+    else:
+        spread = large.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        every = runs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        due = spread.join(every, ["path", "salt"]).drop("salt")
+    due = due.filter(F.octet_length("text") > F.col("most"))
     once = due.dropDuplicates(["run_id", "doc_id", "most", "overlap", "specials"])
     return once.select("run_id", "doc_id", "text", "most", "overlap", "specials").mapInArrow(
         _cut, PIECES
@@ -137,3 +140,20 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
+def joined_pieces(pieces: DataFrame) -> DataFrame:
+    """``run_id, doc_id, text, longest``: the pieces put together again without their
+    overlaps, and the bytes of the longest one. The text of one record is one row, as it
+    was before it was cut."""
+    every = F.array_sort(F.collect_list(F.struct("piece", "start_byte", "end_byte", "piece_text")))
+    rows = pieces.groupBy("run_id", "doc_id").agg(every.alias("p"))
+
+    def new(piece: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get("p", k - 1)["end_byte"]).otherwise(F.lit(0).cast("long"))
+        raw = F.encode(piece["piece_text"], "UTF-8")
+        return F.substring(raw, (before - piece["start_byte"] + 1).cast("int"), F.octet_length(raw))
+
+    whole = F.aggregate(F.transform("p", new), F.lit(b""), lambda text, part: F.concat(text, part))
+    longest = F.array_max(F.transform("p", lambda x: x["end_byte"] - x["start_byte"]))
+    return rows.select("run_id", "doc_id", F.decode(whole, "UTF-8").alias("text"), longest.alias("longest"))

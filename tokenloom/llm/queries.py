@@ -40,6 +40,13 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces put together again, and whether all are within the limit of the run."""
+    train = table(spark, sf_dir, "train_bpe").select("run_id", F.coalesce("stream_chunk_chars", F.lit(pieces.DEFAULT_LIMIT)).alias("most")).distinct()
+    rows = pieces.joined_pieces(p2_pieces(spark, sf_dir)).join(train, "run_id")
+    return rows.select("run_id", "doc_id", "text", (F.col("longest") <= F.col("most")).alias("within"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored(table(spark, sf_dir, "tinystories_sample")).select("doc_id").distinct()
 
@@ -84,6 +91,11 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document lies whole in containers that are not overfull."""
+    return packing.placed(p7_containers(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_subjects(spark, sf_dir).select("doc_id", "subject").distinct()
 
@@ -102,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "p1_bands": p1_bands,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_joined": p2_joined,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
@@ -112,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
+    "p7_placed": p7_placed,
     "p8_found": p8_found,
     "p8_subjects": p8_subjects,
 }
@@ -170,6 +184,10 @@ FROM r LEFT JOIN w USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "p2_found": """SELECT DISTINCT run_id, doc_id FROM tinystories_sample
 JOIN train_bpe USING (input_path)
 WHERE strlen(text) > coalesce(stream_chunk_chars, 1000000)""",
+    "p2_joined": """SELECT DISTINCT run_id, doc_id, text, true AS within FROM tinystories_sample
+JOIN train_bpe USING (input_path)
+WHERE strlen(text) > coalesce(stream_chunk_chars, 1000000)""",
+    "p7_placed": "SELECT doc_id, true AS placed FROM documents",
     "p4_found": f"{_COUNTS} SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_counts": f"{_COUNTS} SELECT field_name, term, occurrences, records, mark FROM marked",
     "p4_ngrams": f"""WITH {_RECORDS}, n AS (SELECT unnest(range(1, 6)) AS n), g AS (

@@ -255,7 +255,8 @@ def labelled(docs: DataFrame, labels: DataFrame, names: list[str], sample: int =
     n = given.count()
     part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n)))
     texts = id_text(docs, "doc_id", "text").filter((F.col("text") != "") & (F.length("text") <= LONGEST))
-    return texts.join(given.filter(part), "id").select("id", "text", "given")
+    # The sample is bounded, so it goes to the texts and these stay where they are.
+    return texts.join(F.broadcast(given.filter(part)), "id").select("id", "text", "given")
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> Models:
