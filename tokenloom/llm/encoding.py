@@ -29,7 +29,7 @@ from tokenloom.llm.common import cut, id_text
 #: Rows that the dictionaries are trained on, about; bytes of a dictionary, and of those that
 #: the training texts are judged by; and of the rows the most texts of one language, those
 #: with the least hash of their id.
-SAMPLE, DICT_BYTES, PROBE_BYTES, PER_LANGUAGE = 12_000, 32 << 10, 8 << 10, 1_500
+SAMPLE, DICT_BYTES, PROBE_BYTES, PER_LANGUAGE = 6_000, 32 << 10, 8 << 10, 1_500
 #: Bytes that naming a chain costs, and that a place of three characters or more is worth,
 #: for hardly any other text decodes as UTF-8 at such a length.
 CHAIN_COST, SURE = 1, 4
@@ -356,11 +356,24 @@ def train(texts: list[str], per_language: int = PER_LANGUAGE, size: int = DICT_B
 
 
 def trained(texts: list[str], per_language: int = PER_LANGUAGE) -> dict[str, bytes]:
-    """Dictionaries of the texts that are no cases themselves, by small dictionaries of all,
-    in which wrong readings, being rare, hardly find room."""
+    """Dictionaries of the texts that do not look like cases, by words and by small
+    dictionaries of all, in which wrong readings, being rare, hardly find room."""
     seen = {c: of for c, of in characters(list(enumerate(texts))).items() if of[1] < of[2]}
     first = Costs(with_known(train(texts, per_language, PROBE_BYTES), seen, len(texts)))
-    return train([t for t in texts if t.isascii() or not restore(t, first)[1]], per_language)
+    clean = [t for t in texts if t.isascii() or not (suspicious(t, first) or restore(t, first)[1])]
+    return train(clean, per_language)
+
+
+def suspicious(text: str, costs: Costs) -> bool:
+    """Whether a text has places that decode well or give frequent words, whatever they save:
+    such a text must not teach how correct ones look."""
+    chars, is_lower = {c for c in set(text) if c > "\x7f"}, text == text.lower()
+    for chain in chains():
+        if chain.may_be_in(chars, is_lower) and (not chain.shape or chain.shape.search(text)):
+            for a, b, then in _places(chain, text, costs):
+                if chain.by_word or (b - a > 2 and not chain.share) or (chain.share and costs.confirms(text[a:b], then)):
+                    return True
+    return False
 
 
 def _plain(text: str) -> bool:
@@ -451,9 +464,11 @@ class Costs:
         return not natural and all(c in self.known or c in self.letters for c in then)
 
     def confirms(self, found: str, then: str) -> bool:
-        """Whether words of the corpus are restored, where there are no such words."""
+        """Whether at least half of the restored words are words of the corpus, where there are
+        no such words."""
         old, new = ([self.words.get(w, 0) for w in _WORD.findall(t.lower()) if len(w) > 1] for t in (found, then))
-        return min(new, default=0) >= max(2, MORE_FREQUENT * max(old, default=0))
+        least = max(2, MORE_FREQUENT * max(old, default=0))
+        return bool(new) and 2 * sum(n >= least for n in new) >= len(new)
 
     def known_of(self, text: str, name: str) -> int:
         """The same as ``of``, remembered while one text is looked at."""
