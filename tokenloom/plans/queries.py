@@ -22,7 +22,7 @@ from tokenloom.operators.pretokenize import (
     segment,
     word_histogram,
 )
-from tokenloom.operators.tokenizer import Tokenizer
+from tokenloom.operators.tokenizer import Tokenizer, make_tokenizer, register
 from tokenloom.operators.train import train_bpe, train_merges, vocab
 from tokenloom.sources.shared import shared_dir
 from tokenloom.sources.storage import (
@@ -366,6 +366,14 @@ def encode_ids_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark, sf_dir, "words")[1]
 
 
+@query(_IDS)
+def encode_ids_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a function of SQL."""
+    register(spark, trained(spark, sf_dir), "query_bpe")
+    documents(spark, sf_dir).createOrReplaceTempView("query_documents")
+    return spark.sql("SELECT doc_id, query_bpe_encode(text) AS ids FROM query_documents")
+
+
 @query(f"WITH {_ENCODED} SELECT w, ids FROM word_ids")
 def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = pretokenize(documents(spark, sf_dir), "text", SPECIALS)
@@ -387,7 +395,7 @@ def saved_tokenizer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids by a tokenizer that was saved as JSON and read again."""
     t, folder = trained(spark, sf_dir), scratch(spark)
     save_checkpoint(spark, folder, t.vocab, t.merges)
-    return Tokenizer(*load_checkpoint(spark, folder), SPECIALS).encode_frame(documents(spark, sf_dir))
+    return make_tokenizer(*load_checkpoint(spark, folder), SPECIALS).encode_frame(documents(spark, sf_dir))
 
 
 @query(f"WITH {_ENCODED} SELECT source, CAST(sum(len(ids)) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS n_docs FROM encoded JOIN documents USING (doc_id) GROUP BY source")
