@@ -59,7 +59,7 @@ class Rows:
         doc = w.doc[at]
         ok = total[doc] >= least
         doc, h = doc[ok], h[ok]
-        order = np.lexsort((h, doc))
+        order = by_document(doc, h, len(texts))
         doc, h = doc[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -87,6 +87,19 @@ class Rows:
         return [packed[a : a + n].tobytes() for a, n in zip(start // 8, bits // 8)]
 
 
+def by_document(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """An order by document and hash. One number holds both, the document in the upper bits,
+    which sorts many times as fast as two; where it is too short for two hashes of one
+    document, both are sorted."""
+    bits = _U(max(int(n).bit_length(), 1))
+    key = (doc.astype(np.uint64) << (_U(64) - bits)) | (h >> bits)
+    order = np.argsort(key)
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if (h[order[same]] != h[order[same + 1]]).any():
+        return np.lexsort((h, doc))
+    return order
+
+
 def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
     """Bits in which the two signatures of each pair differ: the sizes of the two sets less
     twice their overlap are at least that many."""
@@ -170,7 +183,9 @@ def near_duplicates(
 
     blobs = rows.mapInArrow(scatter, _BLOB)
     partial = blobs.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(multiply, _SHORT)
-    summed = partial.groupBy("a", "b", "sizes").agg(
+    # Two blocks hardly ever share a task, so sums before the shuffle would save nothing; by
+    # the first row alone, the pairs are already where the next join wants them.
+    summed = partial.repartition(parts(df.sparkSession), "a").groupBy("a", "b", "sizes").agg(
         F.sum("hits").alias("hits"), F.max("last").alias("last")
     )
     behind = [F.col("sizes") - F.col("last"), F.col("sizes").bitwiseAND(_LOW) - F.col("last").bitwiseAND(_LOW)]
@@ -232,7 +247,7 @@ class _Held:
         low = order[sketch.places(r.h, len(order).bit_length() - 1)]
         column = (low.astype(np.uint64) << _U(56)) | (r.h & _U((1 << 56) - 1))
         row = np.repeat(np.arange(len(r.docs)), r.size)
-        by = np.lexsort((column, row))
+        by = by_document(row, column, len(r.docs))
         column, low = column[by], low[by]
         place = np.arange(len(by)) - np.repeat(r.first, r.size)
         reach = (r.size - need(r.size, share) + 1)[row]
@@ -257,7 +272,7 @@ class _Held:
         spread = mix(column)
         block = (spread % _U(self.blocks)).astype(np.int64)
         name = ((spread // _U(self.blocks)) & _U(0xFFFFFFFF)).astype(np.uint32)
-        by = np.lexsort((name, block))
+        by = np.argsort((block.astype(np.uint64) << _U(32)) | name)
         edge = np.flatnonzero(np.diff(block[by], prepend=-1, append=-2))
         compress = zstandard.ZstdCompressor(level=1)
         for a, b in zip(edge, edge[1:]):
@@ -345,8 +360,9 @@ def product(blobs: list[bytes], share: int) -> Iterator[pa.RecordBatch]:
     first[same] = np.arange(len(same))
     local = first[same][local]
     n = size[local]
-    # One order of two rows in all blocks, also where their sizes are equal.
-    by = np.lexsort((side, known[local], n, name))
+    # One order of two rows in all blocks, also where their sizes are equal; places among
+    # the sorted classes stand for the classes.
+    by = np.lexsort(((same[local] << 2) | side, (name.astype(np.uint64) << _U(32)) | n.astype(np.uint64)))
     name, local, place, side, n = name[by], local[by], place[by], side[by], n[by]
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | (local[1:] != local[:-1]) | (side[1:] != side[:-1])
@@ -443,7 +459,7 @@ def similar(x: list[str], y: list[str], n: int, share: int, least: int) -> np.nd
     """For each pair of texts whether it reaches the share, exactly."""
     r, s = Rows(x, n, least), Rows(y, n, least)
     doc, h = np.r_[r.doc, s.doc], np.r_[r.h, s.h]
-    by = np.lexsort((h, doc))
+    by = by_document(doc, h, len(x))
     doc, h = doc[by], h[by]
     twice = doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])]
     both = np.bincount(twice, minlength=len(x))
