@@ -242,6 +242,16 @@ def test_near_duplicates_equal_brute_force(spark: SparkSession, monkeypatch) ->
     assert {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()} == want
 
 
+def test_rows_are_sorted_by_one_number_or_two() -> None:
+    rng = np.random.default_rng(16)
+    for spread in (np.uint64(1), np.uint64(1 << 40)):
+        doc = np.sort(rng.integers(0, 50, 2000))
+        h = rng.integers(0, 40, 2000).astype(np.uint64) * spread
+        by = neardup.by_document(doc, h, 50)
+        want = np.lexsort((h, doc))
+        assert (doc[by] == doc[want]).all() and (h[by] == h[want]).all()
+
+
 def test_hot_columns_are_split_without_loss() -> None:
     rng = np.random.default_rng(5)
     base = rng.integers(1, 1 << 60, 400).astype(np.uint64)
@@ -454,6 +464,14 @@ def test_words_tell_garbled_stretches_from_correct_ones(spark: SparkSession) ->
     assert got[1002] == f"{clean[0]} {clean[1]}".lower() and len(got) == 3
 
 
+def test_chains_are_picked_by_their_marks() -> None:
+    rng = random.Random(15)
+    letters = sorted({c for chain in encoding.chains() for m in chain.marks for c in m})
+    for k in range(200):
+        chars, is_lower = set(rng.sample(letters, rng.randint(0, 12))), k % 2 == 0
+        assert list(encoding.possible(chars, is_lower)) == [c for c in encoding.chains() if c.may_be_in(chars, is_lower)]
+
+
 def test_characters_are_counted_over_all_texts() -> None:
     seen = encoding.characters([(1, "é и"), (2, "é"), (2, "ж"), (3, "plain"), (4, "Ã©Ã©Ã© €")])
     assert seen == {"é": (2, 1, 2), "и": (1, 1, 1), "ж": (1, 2, 2)}
