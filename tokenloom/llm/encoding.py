@@ -31,7 +31,8 @@ from tokenloom.llm.common import cut, id_text
 #: with the least hash of their id.
 SAMPLE, DICT_BYTES, PROBE_BYTES, PER_LANGUAGE = 6_000, 32 << 10, 8 << 10, 1_500
 #: Bytes that naming a chain costs, and that a place of three characters or more is worth,
-#: for hardly any other text decodes as UTF-8 at such a length.
+#: for hardly any other text decodes as UTF-8 at such a length, and one of replacement or
+#: control characters.
 CHAIN_COST, SURE = 1, 4
 #: A chain of one-byte encodings, which says nothing about its places by itself, must save
 #: this part of their description, unless the restored words are words of the corpus, so
@@ -283,7 +284,9 @@ def _one_byte_chain(written: str, read: str) -> Chain:
         strange = "".join(re.escape(c) for c in sorted(image - usual)) or "￾"
         upper = "".join(re.escape(c) for c in sorted(image) if c.isupper())
         marks = "".join(image - usual) + "".join(c for c in image if c.isupper())
-        sign = f"(?:[{strange}]|(?<=[a-zß-ÿ])[{upper or strange}])"
+        capital = f"[{upper or strange}]"
+        # Capitals within words, before another capital of a word, or behind its end.
+        sign = f"(?:[{strange}]|(?<=[a-zß-ÿ]){capital}|{capital}(?=[A-Z][a-zß-ÿ])|(?<=[?!.,]){capital}(?![^\\W\\d_]))"
         seen, hint = re.compile(f"[^\\s]*{sign}[^\\s]*"), re.compile(sign)
 
     good = {c: into[b] for c, b in back.items() if b in into}
@@ -318,6 +321,37 @@ def chains() -> list[Chain]:
     return out + [_one_byte_chain(*pair) for pair in ONE_BYTE]
 
 
+@functools.cache
+def _marked() -> tuple[dict[str, int], dict[str, int], int, int]:
+    """For each character the chains it is a first or a second mark of, as bits; the chains
+    with one kind of marks; and those of lower case."""
+    first: dict[str, int] = {}
+    second: dict[str, int] = {}
+    single = lowered = 0
+    for k, chain in enumerate(chains()):
+        for known, marks in zip((first, second), chain.marks):
+            for c in marks:
+                known[c] = known.get(c, 0) | 1 << k
+        single |= (len(chain.marks) == 1) << k
+        lowered |= chain.lowered << k
+    return first, second, single, lowered
+
+
+def possible(chars: set[str], is_lower: bool) -> Iterator[Chain]:
+    """The chains that ``may_be_in`` a text of these characters, in their order."""
+    first, second, single, lowered = _marked()
+    a, b = 0, single
+    for c in chars:
+        a |= first.get(c, 0)
+        b |= second.get(c, 0)
+    bits = a & b & (-1 if is_lower else ~lowered)
+    every = chains()
+    while bits:
+        k = (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+        yield every[k]
+
+
 def language(text: str) -> str:
     """A guess for picking samples, by script and frequent words."""
     if regex.search(r"[\p{Hiragana}\p{Katakana}]", text):
@@ -368,8 +402,8 @@ def suspicious(text: str, costs: Costs) -> bool:
     """Whether a text has places that decode well or give frequent words, whatever they save:
     such a text must not teach how correct ones look."""
     chars, is_lower = {c for c in set(text) if c > "\x7f"}, text == text.lower()
-    for chain in chains():
-        if chain.may_be_in(chars, is_lower) and (not chain.shape or chain.shape.search(text)):
+    for chain in possible(chars, is_lower):
+        if not chain.shape or chain.shape.search(text):
             for a, b, then in _places(chain, text, costs):
                 if chain.by_word or (b - a > 2 and not chain.share) or (chain.share and costs.confirms(text[a:b], then)):
                     return True
@@ -494,9 +528,7 @@ def restore(text: str, costs: Costs) -> tuple[str, list[str]]:
         best, was = (0, text, ""), ""
         chars, is_lower = {c for c in set(text) if c > "\x7f"}, text == text.lower()
         shapes = {None: True}
-        for chain in chains():
-            if not chain.may_be_in(chars, is_lower):
-                continue
+        for chain in possible(chars, is_lower):
             if chain.shape not in shapes:
                 shapes[chain.shape] = chain.shape.search(text) is not None
             if not shapes[chain.shape]:
@@ -547,7 +579,12 @@ def lost(text: str, costs: Costs) -> bool:
     if not places:
         return False
     names = {costs.language(text)}
-    return any(_gain(text, group, costs, names)[0] > CHAIN_COST for group in _groups(places))
+    for group in _groups(places):
+        # No correct text holds the first two kinds.
+        sure = any(c == "\ufffd" or c < "\xa0" for a, b, _ in group for c in text[a:b])
+        if _gain(text, group, costs, names)[0] + SURE * sure > CHAIN_COST:
+            return True
+    return False
 
 
 def _gain(text: str, group: list[Place], costs: Costs, names: set[str]) -> tuple[int, int]:
