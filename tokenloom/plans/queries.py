@@ -314,11 +314,11 @@ def train_bpe_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_bpe(documents(spark, sf_dir), VOCAB, SPECIALS, workdir=folder)[1]
 
 
-@query(f"""WITH {_TRAINED} SELECT rank, l, r, n FROM b0 WHERE n >= 8000 """ + "".join(
-    f"UNION ALL SELECT rank, l, r, n FROM b{k} WHERE n >= 8000 " for k in range(1, MERGES)))
+@query(f"""WITH {_TRAINED} SELECT rank, l, r, n FROM b0 WHERE n >= 12000 """ + "".join(
+    f"UNION ALL SELECT rank, l, r, n FROM b{k} WHERE n >= 12000 " for k in range(1, MERGES)))
 def train_bpe_min_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training that ends at the first pair that is less than 8,000 frequent."""
-    return train_bpe(documents(spark, sf_dir), VOCAB, SPECIALS, min_freq=8000)[1]
+    """Training that ends at the first pair that is less than 12,000 frequent."""
+    return train_bpe(documents(spark, sf_dir), VOCAB, SPECIALS, min_freq=12000)[1]
 
 
 @query()
