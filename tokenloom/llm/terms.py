@@ -28,7 +28,8 @@ from tokenloom.llm.words import words
 COUNTS = "term string, n_terms int, occurrences bigint, records bigint"
 #: Characters, and terms of lists, of one block.
 BLOCK_CHARS, BLOCK_TERMS = 2_000_000, 500_000
-#: Ids delivered more than once are broadcast up to this many (about 64 MB), else joined.
+#: Ids delivered more than once are broadcast up to this many (about 64 MB); beyond that all
+#: rows are shuffled.
 BROADCAST_IDS = 2_000_000
 
 
@@ -149,12 +150,12 @@ def _lengths(n: int | list[int]) -> list[int]:
 
 def once(rows: DataFrame) -> DataFrame:
     """One row for each ``id``. Rows whose id comes once stay where they are; only the rows
-    of the other ids are shuffled. ``rows`` must give the same ids whenever it is read."""
+    of the other ids are shuffled, unless these are too many to be sent to all tasks."""
     twice = cut(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
-    if twice.count() <= BROADCAST_IDS:
-        twice = F.broadcast(twice)
-    alone = rows.join(twice, "id", "left_anti")
-    return alone.unionByName(rows.join(twice, "id", "left_semi").dropDuplicates(["id"]))
+    if twice.count() > BROADCAST_IDS:
+        return rows.dropDuplicates(["id"])
+    again = rows.join(F.broadcast(twice), "id", "left_semi").dropDuplicates(["id"])
+    return rows.join(F.broadcast(twice), "id", "left_anti").unionByName(again)
 
 
 def word_counts(
