@@ -668,7 +668,7 @@ def dictionaries(
     and the known and rare characters and words, counted over all rows.
 
     One scan gives both. Words come to the driver only if they are in two texts and in one
-    of 100,000, ASCII words if they are in one of 1,000, so there are at most so many times
+    of 10,000, ASCII words if they are in one of 1,000, so there are at most so many times
     as many as an average text has.
     """
     rows = id_text(df, id_col, text_col).filter("id is not null and text <> ''")
@@ -696,7 +696,7 @@ def dictionaries(
     counted = looked.filter("n > 0").groupBy("c").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     texts = counted.filter("c = ''").first()
     many = texts["n"] if texts else 0
-    least = F.when(F.col("c").rlike("^[a-z]+$"), max(2, many // 1_000)).otherwise(max(2, many // 100_000))
+    least = F.when(F.col("c").rlike("^[a-z]+$"), max(2, many // 1_000)).otherwise(max(2, many // 10_000))
     seen = counted.filter((F.col("low") < F.col("high")) & ((F.length("c") == 1) | (F.col("n") >= least))).collect()
     return with_known(made, {c: tuple(of) for c, *of in seen}, many)
 
