@@ -16,6 +16,7 @@ which are found.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from tokenloom.llm.words import chunks, mix, runs, words
 WORDS, SHARE, LEAST_WORDS = 3, 60, 20
 #: Entries of one block of columns, and of one task's blobs before they are sent.
 BLOCK_ENTRIES = 2_000_000
+#: Up to so many blocks have a task each; more share tasks and come one after the other.
+MOST_TASKS = 20_000
 #: A column in more records than this is cut into groups whose pairs are separate blocks.
 HOT = 8_192
 #: Different runs that a record adds, for the size of the table of counts.
@@ -155,14 +158,15 @@ def near_duplicates(
             yield r.h[np.repeat(once, r.size)]
 
     counts = sketch.count_keys(rows, keys, sketch.bits_for(NEW_RUNS * df.count()))
-    table = rows.sparkSession.sparkContext.broadcast(counts)
-    levels = np.frombuffer(table.value, np.uint8)
+    packed = zstandard.compress(counts, 1)
+    table = rows.sparkSession.sparkContext.broadcast((hashlib.sha1(packed).hexdigest(), packed))
+    levels = np.frombuffer(counts, np.uint8)
     counted = np.bincount(levels, minlength=256) @ sketch.from_level(np.arange(256))
     entries = float(counted) * (100 - share) / 100
     blocks = max(parts(df.sparkSession), int(entries / BLOCK_ENTRIES))
 
     def scatter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.frombuffer(table.value, np.uint8)
+        order = _unpacked(table.value)
         held = _Held(blocks)
         for batch in it:
             texts = batch.column(1).to_pylist()
@@ -173,16 +177,24 @@ def near_duplicates(
         yield from held.blobs()
 
     def multiply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A partition holds one block.
-        by_block: dict[int, list[bytes]] = {}
+        # The blobs of a block follow each other, so one block at a time is in memory.
+        now, mine = None, []
         for batch in it:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_block.setdefault(block, []).append(blob)
-        while by_block:
-            yield from product(by_block.popitem()[1], share)
+                if block != now and mine:
+                    yield from product(mine, share)
+                    mine = []
+                now = block
+                mine.append(blob)
+        if mine:
+            yield from product(mine, share)
 
     blobs = rows.mapInArrow(scatter, _BLOB)
-    partial = blobs.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(multiply, _SHORT)
+    tasks = min(blocks, MOST_TASKS)
+    placed = blobs.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int"))
+    if blocks > tasks:
+        placed = placed.sortWithinPartitions("block")
+    partial = placed.mapInArrow(multiply, _SHORT)
     # Two blocks hardly ever share a task, so sums before the shuffle would save nothing; by
     # the first row alone, the pairs are already where the next join wants them.
     summed = partial.repartition(parts(df.sparkSession), "a").groupBy("a", "b", "sizes").agg(
@@ -233,6 +245,18 @@ def near_duplicates(
     return _compared(kept, rows, n, share, least), signed.select("class", "copy", F.col("id").alias("doc_id"))
 
 
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _unpacked(named: tuple[str, bytes]) -> np.ndarray:
+    """The table of counts in a worker, which unpacks it once."""
+    name, packed = named
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return _TABLES[name]
+
+
 class _Held:
     """Entries of the blocks of one task."""
 
