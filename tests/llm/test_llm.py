@@ -240,6 +240,10 @@ def test_near_duplicates_equal_brute_force(spark: SparkSession, monkeypatch) ->
     want = brute_pairs(texts)
     assert want
     assert {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()} == want
+    # Small blocks, several of which share a task.
+    monkeypatch.setattr(neardup, "BLOCK_ENTRIES", 100)
+    monkeypatch.setattr(neardup, "MOST_TASKS", 3)
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()} == want
 
 
 def test_rows_are_sorted_by_one_number_or_two() -> None:
