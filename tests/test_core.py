@@ -379,8 +379,12 @@ def test_files(spark, docs, tmp_path) -> None:
     assert storage.load_checkpoint(spark, str(part)) == (t.vocab, t.merges)
     assert storage.from_checkpoint(None, None) == ({}, [])
     paths = str(tmp_path / "v.json"), str(tmp_path / "m.txt")
-    storage.save_printed(*paths, t.vocab, t.merges, t.specials)
-    assert storage.load_printed(*paths, t.specials) == (t.vocab, t.merges)
+    storage.save_printed(spark, *paths, t.vocab, t.merges, t.specials)
+    assert storage.load_printed(spark, *paths, t.specials) == (t.vocab, t.merges)
+    more = storage.load_printed(spark, *paths, [*t.specials, "<new>", "<other>"])[0]
+    assert more == t.vocab | {len(t.vocab): b"<new>", len(t.vocab) + 1: b"<other>"}
+    (tmp_path / "m2.txt").write_text("#version\n\u0120 t\r\nt h\nodd line here\n\n", encoding="utf-8")
+    assert storage.load_printed(spark, paths[0], str(tmp_path / "m2.txt"))[1] == [(b" ", b"t"), (b"t", b"h")]
     (tmp_path / "corpus.txt").write_bytes(b"one\nline<|endoftext|>two\xff<|endoftext|>")
     assert sorted(r.text for r in storage.read_corpus(spark, str(tmp_path / "corpus.txt")).collect()) == ["one\nline", "two�"]
     assert storage.read_corpus(spark, str(tmp_path / "corpus.txt"), None).count() == 1

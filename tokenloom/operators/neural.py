@@ -7,7 +7,7 @@ as an optimizer step, is built-in expressions.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -111,17 +111,28 @@ def next_token_logits(
     return df.withColumn("logits", logits(F.col(ids)))
 
 
-def attended(df: DataFrame, w: Mapping[str, np.ndarray], heads: int, theta: float | None = None, x: str = "x") -> DataFrame:
-    """``attended``: multi-head self attention of the sequence of vectors in ``x``, by the
-    weights ``q``, ``k``, ``v`` and ``o``. Null and empty sequences give null."""
-    wq, wk, wv, wo = (np.asarray(w[n], float) for n in "qkvo")
+def over_sequences(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], x: str, out: str) -> DataFrame:
+    """A column ``out`` of ``f`` of the sequence of vectors in ``x``. Null and empty sequences
+    give null."""
 
     @F.pandas_udf("array<array<double>>")
-    def attend(rows: pd.Series) -> pd.Series:
-        one = lambda r: None if r is None or not len(r) else multihead(np.stack(list(r)), wq, wk, wv, wo, heads, theta).tolist()
-        return pd.Series([one(r) for r in rows], dtype=object)
+    def apply(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None or not len(r) else f(np.stack(list(r))).tolist() for r in rows], dtype=object)
+
+    return df.withColumn(out, apply(F.col(x)))
+
+
+def attended(df: DataFrame, w: Mapping[str, np.ndarray], heads: int, theta: float | None = None, x: str = "x") -> DataFrame:
+    """``attended``: multi-head self attention of the sequences in ``x``, by the weights ``q``,
+    ``k``, ``v`` and ``o``."""
+    weights = [np.asarray(w[n], float) for n in "qkvo"]
+    return over_sequences(df, lambda r: multihead(r, *weights, heads, theta), x, "attended")
+
 
-    return df.withColumn("attended", attend(F.col(x)))
+def transformed(df: DataFrame, w: Mapping[str, np.ndarray], heads: int, theta: float = 10_000.0, x: str = "x") -> DataFrame:
+    """``transformed``: a transformer block of the sequences in ``x``."""
+    weights = {n: np.asarray(v, float) for n, v in w.items()}
+    return over_sequences(df, lambda r: block(r, weights, heads, theta), x, "transformed")
 
 
 def adamw(

@@ -14,7 +14,7 @@ from tokenloom.functions.bytes_table import byte_order, byte_table
 from tokenloom.functions.cells import symbols
 from tokenloom.operators import pairs as P
 from tokenloom.operators.indexed import IndexedWords
-from tokenloom.operators.neural import adamw
+from tokenloom.operators.neural import adamw, attended, load_state, save_state, transformed
 from tokenloom.operators.pretokenize import (
     chunks_of,
     lines_of,
@@ -26,13 +26,16 @@ from tokenloom.operators.tokenizer import Tokenizer, make_tokenizer, register
 from tokenloom.operators.train import train_bpe, train_merges, vocab
 from tokenloom.sources.shared import shared_dir
 from tokenloom.sources.storage import (
+    corpus_bytes,
     from_checkpoint,
     ids_as_json,
     ids_as_text,
     load_checkpoint,
+    load_printed,
     load_words,
     read_corpus,
     save_checkpoint,
+    save_printed,
     save_words,
 )
 from tokenloom.streaming.encode import (
@@ -321,6 +324,15 @@ def train_bpe_min_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_bpe(documents(spark, sf_dir), VOCAB, SPECIALS, min_freq=12000)[1]
 
 
+@query(f"WITH {_TRAINED} " + " UNION ALL ".join(
+    f'SELECT rank AS "merge", l AS "left", r AS "right", n AS "count" FROM b{k}' for k in range(MERGES)))
+def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a callback is told about each merge."""
+    told: list[dict] = []
+    train_bpe(documents(spark, sf_dir), VOCAB, SPECIALS, on_merge=told.append)
+    return spark.createDataFrame([tuple(m.values()) for m in told], "merge int, left string, right string, count bigint")
+
+
 @query()
 def train_bpe_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vocabulary of 1,000 tokens, too many merges to unroll in SQL."""
@@ -398,6 +410,18 @@ def saved_tokenizer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return make_tokenizer(*load_checkpoint(spark, folder), SPECIALS).encode_frame(documents(spark, sf_dir))
 
 
+@query(_IDS)
+def printed_tokenizer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by a tokenizer saved in printable form, without the special token, which is added again."""
+    t, folder = trained(spark, sf_dir), scratch(spark)
+    plain = {k: x for k, x in t.vocab.items() if x != SPECIALS[0].encode()}
+    save_printed(spark, f"{folder}/vocab", f"{folder}/merges", plain, t.merges)
+    vocab, merges = load_printed(spark, f"{folder}/vocab", f"{folder}/merges", SPECIALS)
+    # The added one has the last id, where the trained one has 0.
+    first = {0 if x == SPECIALS[0].encode() else k: x for k, x in vocab.items()}
+    return Tokenizer(first, merges, SPECIALS).encode_frame(documents(spark, sf_dir))
+
+
 @query(f"WITH {_ENCODED} SELECT source, CAST(sum(len(ids)) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS n_docs FROM encoded JOIN documents USING (doc_id) GROUP BY source")
 def token_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.when(F.col("ids").isNotNull(), F.size("ids"))
@@ -435,6 +459,14 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_corpus(spark, folder).groupBy("text").agg(F.count("*").alias("n"))
 
 
+@query("SELECT CAST(sum(strlen(text) + 13) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
+def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the files of ``corpus_files``."""
+    folder = scratch(spark)
+    documents(spark, sf_dir).filter("text is not null").select("text").write.option("lineSep", SPECIALS[0]).text(folder)
+    return corpus_bytes(spark, folder)
+
+
 @query(f"WITH {_HIST} SELECT w, cells, n FROM hist")
 def words_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counted words saved in two parts and loaded together."""
@@ -686,6 +718,55 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("vec_id", rounded(y).alias("y"))
 
 
+_SCORE = """exp(list_sum(list_transform(range(1, 5), lambda d:
+  v[8 * (p // 8) + 4 * ((p % 8) // 4) + d] * v[8 * j + 4 * ((p % 8) // 4) + d])) / 2)"""
+
+
+@query(f"""SELECT vec_id, list_transform(range(0, 64), lambda p: round(
+  list_sum(list_transform(range(0, p // 8 + 1), lambda j: {_SCORE} * v[8 * j + p % 8 + 1])) /
+  list_sum(list_transform(range(0, p // 8 + 1), lambda j: {_SCORE})), 6)) AS y FROM (SELECT vec_id, {_V} AS v FROM embeddings)""")
+def multihead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causal attention with two heads over the eight eighths of each vector, each weight one."""
+    out = attended(eighths(spark, sf_dir), dict.fromkeys("qkvo", ONE), 2)
+    return out.select("vec_id", rounded(F.flatten("attended")).alias("y"))
+
+
+ONE = [[float(i == j) for j in range(8)] for i in range(8)]
+
+
+def eighths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as sequences of eight vectors."""
+    eighth = lambda i: F.slice(A.doubles(F.col("embedding")), i * 8 + 1, F.lit(8))
+    return vectors(spark, sf_dir).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(7)), eighth))
+
+
+def _normed(x: str) -> str:
+    return f"""list_transform(range(0, 64), lambda p: {x}[p + 1] / sqrt(list_sum(list_transform(range(1, 9),
+  lambda d: {x}[8 * (p // 8) + d] * {x}[8 * (p // 8) + d])) / 8 + 1e-5))"""
+
+
+# Two turned pairs in each head; what counts is how far they are turned against each other.
+_TURNED = "exp((" + " + ".join(
+    f"""cos((j - p // 8) / {far}) * (n[8 * (p // 8) + {at} + 1] * n[8 * j + {at} + 1] + n[8 * (p // 8) + {at} + 2] * n[8 * j + {at} + 2]) +
+  sin((j - p // 8) / {far}) * (n[8 * (p // 8) + {at} + 2] * n[8 * j + {at} + 1] - n[8 * (p // 8) + {at} + 1] * n[8 * j + {at} + 2])"""
+    for far, at in (("1.0", "4 * ((p % 8) // 4)"), ("10.0", "4 * ((p % 8) // 4) + 2"))
+) + ") / 2)"
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_V} AS v FROM embeddings), n AS (SELECT vec_id, v, {_normed('v')} AS n FROM v
+), u AS (SELECT vec_id, list_transform(range(0, 64), lambda p: v[p + 1] +
+  list_sum(list_transform(range(0, p // 8 + 1), lambda j: {_TURNED} * n[8 * j + p % 8 + 1])) /
+  list_sum(list_transform(range(0, p // 8 + 1), lambda j: {_TURNED}))) AS u FROM n
+), z AS (SELECT vec_id, u, {_normed('u')} AS z FROM u)
+SELECT vec_id, list_transform(range(1, 65), lambda p: round(u[p] + z[p] * z[p] / (1 + exp(-z[p])), 6)) AS y FROM z""")
+def transformer_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole block over the eight eighths of each vector, each weight one."""
+    names = [*(f"attn.{n}_proj" for n in ("q", "k", "v", "output")), "ffn.w1", "ffn.w2", "ffn.w3"]
+    w = {f"{n}.weight": ONE for n in names} | {f"{n}.weight": [1.0] * 8 for n in ("ln1", "ln2")}
+    out = transformed(eighths(spark, sf_dir), w, 2, 100.0)
+    return out.select("vec_id", rounded(F.flatten("transformed")).alias("y"))
+
+
 _DRAWN = """((((CAST(doc_id AS BIGINT) * 1000003 + 7) % 2147483646 + 1) * (k + 1) % 2147483647) * 48271 % 2147483647) * 48271 % 2147483647"""
 
 
@@ -724,3 +805,11 @@ def pair_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = P.pair_counts(histogram(spark, sf_dir))
     return counts.withColumn("place", F.rank().over(W.partitionBy("l").orderBy(F.desc("n"))))
 
+
+@query(f"SELECT vec_id, list_transform({_V}, {_ROUND}) AS p, 7 AS iteration FROM embeddings")
+def optimizer_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters and their iteration, saved and read again."""
+    folder = scratch(spark)
+    save_state(vectors(spark, sf_dir).select("vec_id", A.doubles(F.col("embedding")).alias("p")), folder, 7)
+    state, iteration = load_state(spark, folder)
+    return state.select("vec_id", rounded(F.col("p")).alias("p"), F.lit(iteration).alias("iteration"))
