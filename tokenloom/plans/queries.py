@@ -24,7 +24,7 @@ from tokenloom.operators.pretokenize import (
 )
 from tokenloom.operators.tokenizer import Tokenizer, make_tokenizer, register
 from tokenloom.operators.train import train_bpe, train_merges, vocab
-from tokenloom.sources.shared import shared_dir
+from tokenloom.sources.shared import cut, shared_dir
 from tokenloom.sources.storage import (
     corpus_bytes,
     from_checkpoint,
@@ -274,7 +274,8 @@ def merge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'come', * FROM (SELECT * FROM now EXCEPT SELECT * FROM was)""")
 def changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that each touched word loses or gains."""
-    rows = P.changed_pairs(histogram(spark, sf_dir), "20", "74")
+    # Cut, as the optimizer would else work out both lists again to see which are empty.
+    rows = cut(P.changed_pairs(histogram(spark, sf_dir), "20", "74"))
     sides = [rows.select(F.lit(c).alias("side"), "cells", F.explode(c).alias("p")) for c in ("gone", "come")]
     return sides[0].unionByName(sides[1]).select("side", "cells", "p.l", "p.r")
 
