@@ -246,6 +246,14 @@ def test_near_duplicates_equal_brute_force(spark: SparkSession, monkeypatch) ->
     assert {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()} == want
 
 
+def test_near_duplicates_in_rounds_equal_brute_force(spark: SparkSession, monkeypatch) -> None:
+    monkeypatch.setattr(neardup, "ROUND_BLOCKS", 1)
+    monkeypatch.setattr(neardup, "MOST_TASKS", 2)
+    texts = near_texts(40, 7)
+    df = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()} == brute_pairs(texts)
+
+
 def test_rows_are_sorted_by_one_number_or_two() -> None:
     rng = np.random.default_rng(16)
     for spread in (np.uint64(1), np.uint64(1 << 40)):
@@ -278,6 +286,24 @@ def test_hot_columns_are_split_without_loss() -> None:
     assert len(base) and found[0] == found[1] and len(found[0]) >= 40
 
 
+def test_rows_that_share_little_leave_no_pairs_in_a_block() -> None:
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(5000)]
+    texts = ["one two three " + " ".join(rng.choice(words) for _ in range(rng.randint(40, 200))) for _ in range(300)]
+    texts += [t + " tail end" for t in texts[:50]]
+    # The run that all of them share is their rarest, as all runs become common in large tables.
+    order = np.full(1 << 20, 3, np.uint8)
+    order[sketch.places(neardup.Rows(["one two three"], 3, 1).h, 20)] = 2
+    held = neardup._Held(1)
+    held.add(neardup.Rows(texts, 3, 20), order, 60)
+    (blob,) = (b.column(1)[0].as_py() for b in held.blobs())
+    pairs = [p for b in neardup.product([blob], 60) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    known = neardup.Rows(texts, 3, 20).classes().tolist()
+    assert {tuple(sorted((known[k], known[300 + k]))) for k in range(50)} <= set(pairs)
+    assert len(pairs) < 300
+
+
 def test_counts_of_hot_keys_are_not_clipped(spark: SparkSession, monkeypatch) -> None:
     monkeypatch.setattr(sketch, "FAN_IN", 2)
     monkeypatch.setattr(sketch, "GATHERED", 1000)

@@ -8,6 +8,8 @@ the first columns of both, the number of which follows from their sizes. Each bl
 up overlaps and places; a pair goes when its sizes, or the overlap that is still possible
 behind the last common column, rule it out. Parity bitmaps of the rows rule out most of
 the rest, without losing a pair, and the pairs left are compared exactly on their texts.
+Short bitmaps travel with the entries and are compared inside a block, as the rows that
+meet in a column grow as the square of its length: only what passes is shuffled.
 
 The order comes from counts of all runs in all records, in a table whose size follows
 the input up to a bound (``sketch``); it decides only how many pairs are looked at, never
@@ -17,7 +19,8 @@ which are found.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm import sketch
 from tokenloom.llm.common import cut, id_text, parts
 from tokenloom.llm.words import chunks, mix, runs, words
+from tokenloom.sources.shared import Steps, release
 
 WORDS, SHARE, LEAST_WORDS = 3, 60, 20
 #: Entries of one block of columns, and of one task's blobs before they are sent.
@@ -36,6 +40,9 @@ BLOCK_ENTRIES = 2_000_000
 MOST_TASKS = 20_000
 #: A column in more records than this is cut into groups whose pairs are separate blocks.
 HOT = 8_192
+#: More blocks than this are made in ``ROUNDS`` rounds of a scan of the texts each, so that the
+#: entries of one round only are on disk at once.
+ROUND_BLOCKS, ROUNDS = 50, 2
 #: Different runs that a record adds, for the size of the table of counts.
 NEW_RUNS = 64
 #: Up to this many records of one text, byte by byte, are written out in pairs; of more
@@ -45,6 +52,9 @@ EXPAND = 64
 LIST = 512
 #: Least bits of a row's parity bitmap.
 SIG_BITS = 128
+#: Rows up to these sizes have 128 and 256 bits beside their entries. For longer rows so few
+#: bits would tell nothing.
+NARROW, WIDE = 85, 256
 _BLOB = "block bigint, blob binary"
 #: ``sizes`` and ``last`` (places of the last common column) hold two numbers of 32 bits.
 _SHORT = "a bigint, b bigint, sizes bigint, hits bigint, last bigint"
@@ -89,6 +99,18 @@ class Rows:
         packed = np.packbits((flat & 1).astype(np.uint8), bitorder="little")
         return [packed[a : a + n].tobytes() for a, n in zip(start // 8, bits // 8)]
 
+    def short_bits(self) -> np.ndarray:
+        """Four words of 64 bits for each text: the parity of the runs on 128 bits up to
+        ``NARROW`` runs, on 256 up to ``WIDE``, and zeros beyond."""
+        docs = len(self.docs)
+        row = np.repeat(np.arange(docs), self.size)
+        few = (self.size <= WIDE)[row]
+        row = row[few]
+        mask = np.where(self.size <= NARROW, 127, 255).astype(np.uint64)[row]
+        bit = (mix(self.h[few] ^ _U(0x5851F42D4C957F2D)) & mask).astype(np.int64)
+        odd = (np.bincount(row * 256 + bit, minlength=docs * 256) & 1).astype(np.uint8)
+        return np.packbits(odd, bitorder="little").view(np.uint64).reshape(docs, 4)
+
 
 def by_document(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """An order by document and hash. One number holds both, the document in the upper bits,
@@ -164,17 +186,22 @@ def near_duplicates(
     counted = np.bincount(levels, minlength=256) @ sketch.from_level(np.arange(256))
     entries = float(counted) * (100 - share) / 100
     blocks = max(parts(df.sparkSession), int(entries / BLOCK_ENTRIES))
-
-    def scatter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = _unpacked(table.value)
-        held = _Held(blocks)
-        for batch in it:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                held.add(Rows(texts[a:b], n, least), order, share)
-                if held.size >= BLOCK_ENTRIES:
-                    yield from held.blobs()
-        yield from held.blobs()
+    rounds = ROUNDS if blocks > ROUND_BLOCKS else 1
+    release(df.sparkSession)
+
+    def scatter(now: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            order = _unpacked(table.value)
+            held = _Held(blocks, rounds, now)
+            for batch in it:
+                texts = batch.column(1).to_pylist()
+                for a, b in chunks(texts):
+                    held.add(Rows(texts[a:b], n, least), order, share)
+                    if held.size >= BLOCK_ENTRIES:
+                        yield from held.blobs()
+            yield from held.blobs()
+
+        return of
 
     def multiply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The blobs of a block follow each other, so one block at a time is in memory.
@@ -189,17 +216,33 @@ def near_duplicates(
         if mine:
             yield from product(mine, share)
 
-    blobs = rows.mapInArrow(scatter, _BLOB)
-    tasks = min(blocks, MOST_TASKS)
-    placed = blobs.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int"))
-    if blocks > tasks:
-        placed = placed.sortWithinPartitions("block")
-    partial = placed.mapInArrow(multiply, _SHORT)
-    # Two blocks hardly ever share a task, so sums before the shuffle would save nothing; by
-    # the first row alone, the pairs are already where the next join wants them.
-    summed = partial.repartition(parts(df.sparkSession), "a").groupBy("a", "b", "sizes").agg(
-        F.sum("hits").alias("hits"), F.max("last").alias("last")
-    )
+    def met(now: int) -> DataFrame:
+        """The pairs of the blocks of one round."""
+        blobs = rows.mapInArrow(scatter(now), _BLOB)
+        own = -(-(blocks - now) // rounds)
+        tasks = min(own, MOST_TASKS)
+        at = F.floor(F.col("block") / rounds)
+        placed = blobs.repartitionById(tasks, F.pmod(at, F.lit(tasks)).cast("int"))
+        if own > tasks:
+            placed = placed.sortWithinPartitions("block")
+        return added(placed.mapInArrow(multiply, _SHORT))
+
+    def added(partial: DataFrame) -> DataFrame:
+        # Two blocks hardly ever share a task, so sums before the shuffle would save nothing; by
+        # the first row alone, the pairs are already where the next join wants them.
+        return partial.repartition(parts(df.sparkSession), "a").groupBy("a", "b", "sizes").agg(
+            F.sum("hits").alias("hits"), F.max("last").alias("last")
+        )
+
+    steps = Steps(df.sparkSession, "neardup") if rounds > 1 else None
+    if steps:
+        pieces = []
+        for now in range(rounds):
+            pieces.append(steps.keep(f"pairs-{now}", met(now)))
+            release(df.sparkSession)
+        summed = added(reduce(DataFrame.unionAll, pieces))
+    else:
+        summed = met(0)
     behind = [F.col("sizes") - F.col("last"), F.col("sizes").bitwiseAND(_LOW) - F.col("last").bitwiseAND(_LOW)]
     both = F.shiftright("sizes", 32) + F.col("sizes").bitwiseAND(_LOW)
     possible = F.col("hits") - 1 + F.least(F.shiftright(behind[0] - behind[1], 32), behind[1])
@@ -242,6 +285,9 @@ def near_duplicates(
     for side in "ab":
         kept = kept.join(heads.select(F.col("class").alias(side), F.col("id").alias(f"id_{side}")), side)
     kept = cut(kept.select("a", "b", "id_a", "id_b"))
+    if steps:
+        steps.close()
+    release(df.sparkSession)
     return _compared(kept, rows, n, share, least), signed.select("class", "copy", F.col("id").alias("doc_id"))
 
 
@@ -258,12 +304,14 @@ def _unpacked(named: tuple[str, bytes]) -> np.ndarray:
 
 
 class _Held:
-    """Entries of the blocks of one task."""
+    """Entries of the blocks of one task, of one round: of those whose number leaves ``now``."""
 
-    def __init__(self, blocks: int) -> None:
-        self.blocks, self.size, self.parts, self.seen = blocks, 0, [], 0
+    def __init__(self, blocks: int, rounds: int = 1, now: int = 0) -> None:
+        self.blocks, self.rounds, self.now = blocks, rounds, now
+        self.size, self.parts, self.seen = 0, [], 0
         self.known: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
+        self.bits: list[np.ndarray] = []
 
     def add(self, r: Rows, order: np.ndarray, share: int) -> None:
         if not len(r.docs):
@@ -282,18 +330,22 @@ class _Held:
         hot = groups > 1
         if hot.any():
             column, row, place, side = _grouped(column, row, place, groups, hot, r.classes())
-        self.parts.append((column, row + self.seen, place, side))
+        spread = mix(column)
+        if self.rounds > 1:
+            own = spread % _U(self.blocks) % _U(self.rounds) == _U(self.now)
+            spread, row, place, side = spread[own], row[own], place[own], side[own]
+        self.parts.append((spread, row + self.seen, place, side))
         self.known.append(r.classes())
         self.sizes.append(r.size)
+        self.bits.append(r.short_bits())
         self.seen += len(r.docs)
-        self.size += len(column)
+        self.size += len(spread)
 
     def blobs(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        column, row, place, side = (np.concatenate(x) for x in zip(*self.parts))
-        known, sizes = np.concatenate(self.known), np.concatenate(self.sizes)
-        spread = mix(column)
+        spread, row, place, side = (np.concatenate(x) for x in zip(*self.parts))
+        known, sizes, bits = (np.concatenate(x) for x in (self.known, self.sizes, self.bits))
         block = (spread % _U(self.blocks)).astype(np.int64)
         name = ((spread // _U(self.blocks)) & _U(0xFFFFFFFF)).astype(np.uint32)
         by = np.argsort((block.astype(np.uint64) << _U(32)) | name)
@@ -302,6 +354,7 @@ class _Held:
         for a, b in zip(edge, edge[1:]):
             mine = by[a:b]
             rows, local = np.unique(row[mine], return_inverse=True)
+            narrow, wide = rows[sizes[rows] <= WIDE], rows[_is_wide(sizes[rows])]
             blob = pack(
                 [
                     known[rows],
@@ -310,6 +363,8 @@ class _Held:
                     local.astype(np.uint32),
                     place[mine].astype(np.uint32),
                     side[mine],
+                    bits[narrow, :2].ravel(),
+                    bits[wide, 2:].ravel(),
                 ],
                 compress,
             )
@@ -317,7 +372,11 @@ class _Held:
                 [pa.array([block[mine[0]]], pa.int64()), pa.array([blob], pa.binary())],
                 ["block", "blob"],
             )
-        self.__init__(self.blocks)
+        self.__init__(self.blocks, self.rounds, self.now)
+
+
+def _is_wide(size: np.ndarray) -> np.ndarray:
+    return (size > NARROW) & (size <= WIDE)
 
 
 def _grouped(
@@ -344,11 +403,11 @@ def _grouped(
 
 def pack(arrays: list[np.ndarray], compress: zstandard.ZstdCompressor) -> bytes:
     """Arrays as bytes, plane by plane, so that their zero bytes cost nothing."""
-    body = b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays)
+    body = b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
     return np.array([len(x) for x in arrays], np.int64).tobytes() + compress.compress(body)
 
 
-_TYPES = (np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8)
+_TYPES = (np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint64, np.uint64)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -366,18 +425,22 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def product(blobs: list[bytes], share: int) -> Iterator[pa.RecordBatch]:
     """Pairs of rows that meet in a block of columns, with overlap and last place there.
 
-    Common columns have the same order in both rows, so the last one is last in both.
+    Common columns have the same order in both rows, so the last one is last in both. The
+    bits of a row are the same in all blocks, so a pair that they rule out is in none.
     """
-    known, size, name, local, place, side, seen = [], [], [], [], [], [], 0
-    for k, s, c, r, p, d in map(unpack, blobs):
+    known, size, name, local, place, side, bits, seen = [], [], [], [], [], [], [], 0
+    for k, s, c, r, p, d, low, high in map(unpack, blobs):
         known.append(k)
         size.append(s.astype(np.int64))
         name.append(c)
         local.append(r.astype(np.int64) + seen)
         place.append(p.astype(np.int64))
         side.append(d)
+        bits.append(np.zeros((len(k), 4), np.uint64))
+        bits[-1][s <= WIDE, :2] = low.reshape(-1, 2)
+        bits[-1][_is_wide(s), 2:] = high.reshape(-1, 2)
         seen += len(k)
-    known, size = np.concatenate(known), np.concatenate(size)
+    known, size, bits = np.concatenate(known), np.concatenate(size), np.concatenate(bits)
     name, local, place, side = (np.concatenate(x) for x in (name, local, place, side))
     _, same = np.unique(known, return_inverse=True)
     first = np.zeros(same.max() + 1, np.int64)
@@ -397,16 +460,26 @@ def product(blobs: list[bytes], share: int) -> Iterator[pa.RecordBatch]:
     # Rows come by size within a column, so those small enough end at one place.
     top = _ends(name, n, n * 100 // share, end)
     width = np.maximum(top[starts] - starts - 1, 0)
+    starts, width = starts[width > 0], width[width > 0]
+    # All bits folded to 128. A row without bits is never ruled out: it is the larger one of
+    # its pair, or both have none, and counts as so large that any difference is allowed.
+    folded = [(bits[:, k] ^ bits[:, k + 2])[local] for k in range(2)]
+    allowed = np.where(n <= WIDE, n, 1 << 20).astype(np.int32)
     done = 0
     while done < len(starts):
         total = np.cumsum(width[done:])
         step = max(1, int(np.searchsorted(total, BLOCK_ENTRIES, side="right")))
-        i = np.repeat(starts[done : done + step], width[done : done + step])
-        inside = np.arange(len(i)) - np.repeat(
-            total[:step] - width[done : done + step], width[done : done + step]
-        )
-        j = i + 1 + inside
+        own, times = starts[done : done + step], width[done : done + step]
+        j = np.arange(int(times.sum())) + np.repeat(own + 1 - (total[:step] - times), times)
         done += step
+        far = sum(np.bitwise_count(np.repeat(f[own], times) ^ f[j]) for f in folded)
+        both = np.repeat(allowed[own], times) + allowed[j]
+        near = np.flatnonzero(far.astype(np.int32) * (100 + share) <= both * (100 - share))
+        i, j = np.repeat(own, times)[near], j[near]
+        wide = _is_wide(n[i]) & _is_wide(n[j])
+        far = np.bitwise_count(bits[local[i]] ^ bits[local[j]]).sum(axis=1, dtype=np.int64)
+        ok = ~wide | (far * (100 + share) <= (n[i] + n[j]) * (100 - share))
+        i, j = i[ok], j[ok]
         ok = (side[i] == 0) & (side[j] == 0) | (side[i] != side[j])
         ok &= local[i] != local[j]
         left = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j])

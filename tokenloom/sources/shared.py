@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -37,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that nothing refers to any more. It does so
+    only when the driver's garbage is collected, which else may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     """The Hadoop file system of a path, and the path in its terms."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
